@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import content_sort, jump_shards
+from . import content_sort, jump_shards, prefix_bpe, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.query,
     "op4_jump_shards": jump_shards.query,
+    "op6_prefix_bpe": prefix_bpe.query,
     "op7_content_sort": content_sort.query,
 }
 
