@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import content_sort, jump_shards, prefix_bpe, token_files
+from . import content_sort, host_paths, jump_shards, line_rules, personal_data, prefix_bpe, size_packing, token_files
 
 QUERIES = {
     "op1_token_files": token_files.query,
+    "op3_personal_data": personal_data.query,
     "op4_jump_shards": jump_shards.query,
+    "op5_size_packing": size_packing.query,
     "op6_prefix_bpe": prefix_bpe.query,
     "op7_content_sort": content_sort.query,
+    "op8_host_paths": host_paths.query,
+    "op9_line_rules": line_rules.query,
 }
 
 ORACLES = {
     "op7_content_sort": content_sort.ORACLE,
+    "op9_line_rules": line_rules.ORACLE,
 }
