@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, host_paths, jump_shards, line_rules, personal_data, prefix_bpe, size_packing, token_files
+from . import content_sort, host_paths, jump_shards, line_rules, personal_data, prefix_bpe, prefix_join, size_packing, token_files
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_content_sort": content_sort.query,
     "op8_host_paths": host_paths.query,
     "op9_line_rules": line_rules.query,
+    "op10_prefix_join": prefix_join.query,
 }
 
 ORACLES = {
     "op7_content_sort": content_sort.ORACLE,
     "op9_line_rules": line_rules.ORACLE,
+    "op10_prefix_join": prefix_join.ORACLE,
 }
