@@ -173,7 +173,7 @@ class Codec:
         self.bpe = PrefixBpe(text, usable)
         self.added = {a["content"]: a["id"] for a in whole["added_tokens"]}
         self.finder = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.chunks = vocab.Chunks(self.chunk, "<u4", vocab.lowers(self.library))
+        self.chunks = vocab.chunks(text, self.chunk, "<u4")
         top = max([self.bpe.size - 1, *self.added.values()]) + 1
         spelled = [(self.library.id_to_token(i) or "").encode() + b" " for i in range(top)]
         self.sizes = np.array([len(s) for s in spelled], dtype=np.int64)
@@ -181,7 +181,7 @@ class Codec:
         self.flat = np.frombuffer(b"".join(spelled), dtype=np.uint8)
 
     def chunk(self, chunk: str) -> list[int]:
-        """Normalising and splitting are the library's; the ids of each piece are ours."""
+        """Ids of what stands between blanks, or of a piece: normalising and splitting are the library's, the ids ours."""
         if chunk.isascii() and chunk.isalpha() and chunk.islower():
             return self.bpe.encode(chunk)
         out = []

@@ -71,11 +71,11 @@ def _encoder(vocabulary, dtype: str, end_id: int | None):
             ids, n = [], []
             for text in batch.column(1).to_pylist():
                 raw = chunks.text(text) + end
-                got = np.bincount(np.frombuffer(raw, dtype=dtype), minlength=len(counts))
-                got[: len(counts)] += counts
-                counts = got
-                ids.append(pack(raw))
+                ids.append(raw)
                 n.append(len(raw) // width)
+            got = np.bincount(np.frombuffer(b"".join(ids), dtype=dtype), minlength=len(counts))
+            got[: len(counts)] += counts
+            counts, ids = got, [pack(raw) for raw in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "ids", "n"])
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.nulls(len(seen), pa.binary()), pa.array(-counts[seen], pa.int64())], ["doc_id", "ids", "n"])

@@ -1,18 +1,16 @@
-"""Vocabulary files of the ``tokenizers`` library and the caches that encoding runs through."""
+"""Vocabulary files of the ``tokenizers`` library and the cache that encoding runs through."""
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 
-#: Entries of a cache before it is emptied, and the longest string that is cached.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
-#: Punctuation that may end a chunk; it is never joined with letters before it.
-ENDINGS = ".,;:!?%#*$&|\"')("
-#: Letters below this character have lower-case forms that don't depend on what is around them.
-PLAIN_LETTERS = "İ"
+#: Entries of one generation of a cache (there are two), and the longest string that is cached.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
 
 
 def path(name_or_path: str) -> str:
@@ -39,67 +37,74 @@ def tokenizer(text: str):
     return t
 
 
+#: The one way of splitting for which a text in Latin-1 is cut into pieces here.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same over lower-case Latin-1.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+#: Control characters, on whose being white space the two patterns may differ.
+_CONTROLS = bytes(c for c in (*range(32), *range(127, 161)) if c not in b"\t\n\r")
+
+
+def splits_plainly(text: str) -> bool:
+    """Whether a vocabulary file normalises and splits in the way that ``_PIECE`` knows."""
+    whole = json.loads(text)
+    steps = lambda part, key: (whole.get(part) or {}).get(key) or [whole.get(part) or {}]
+    normal = [s.get("type") for s in steps("normalizer", "normalizers")]
+    split = steps("pre_tokenizer", "pretokenizers")
+    return normal == ["NFC", "Replace", "Lowercase"] and [s.get("type") for s in split] == ["Split", "ByteLevel"] and split[0].get("pattern") == {"Regex": _SPLIT} and split[0].get("invert") is True and not split[1].get("use_regex") and not split[1].get("add_prefix_space")
+
+
 class Chunks(dict):
-    """Ids, as bytes, of each chunk between blanks and line ends.
+    """Ids, as bytes, of each piece of text.
 
-    White space never lies inside a token of this vocabulary, so a text's ids are those of its chunks in
-    turn. A chunk of letters followed by punctuation is split there, and its letters are looked up
-    in lower case; all others go to ``encode`` whole. A miss is computed by ``__missing__``, so that
-    ``map(chunks.__getitem__, ...)`` runs without Python code for hits.
+    White space never lies inside a token of such a vocabulary, so a text's ids are those of its chunks
+    between blanks in turn, and, where ``plain`` holds, those of the pieces it is split into anyway. A miss is
+    computed by ``__missing__``, so that ``map(chunks.__getitem__, ...)`` runs without Python code for hits.
+    A full cache becomes the old generation, from which what is used again is taken over.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], dtype: str, lower: bool):
+    def __init__(self, encode: Callable[[str], list[int]], dtype: str, plain: bool, added: tuple[str, ...]):
         super().__init__()
-        self.encode, self.dtype, self.lower, self.cores = encode, np.dtype(dtype), lower, {}
-
-    def ids(self, piece: str) -> bytes:
-        return np.array(self.encode(piece), dtype=self.dtype).tobytes()
+        self.encode, self.dtype, self.plain, self.added, self.old = encode, np.dtype(dtype), plain, added, {}
 
-    def core(self, piece: str) -> bytes:
-        got = self.cores.get(piece)
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
         if got is None:
-            got = self.ids(piece)
-            if len(piece) <= CACHE_CHARS:
-                if len(self.cores) >= CACHE_ENTRIES:
-                    self.cores.clear()
-                self.cores[piece] = got
-        return got
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk:
-            got = b""
-        else:
-            core = chunk.rstrip(ENDINGS)
-            if self.lower and core.isalpha() and max(core) < PLAIN_LETTERS:
-                got = self.core(core.lower())
-                if len(core) < len(chunk):
-                    got += self.core(chunk[len(core) :])
-            else:
-                got = self.ids(chunk)
-        if len(chunk) <= CACHE_CHARS:
+            got = np.array(self.encode(piece), dtype=self.dtype).tobytes()
+        if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = got
+            self[piece] = got
         return got
 
+    def pieces(self, text: str) -> list[str]:
+        if self.plain:
+            try:
+                raw = text.encode("latin-1")
+            except UnicodeEncodeError:
+                raw = None
+            if raw is not None and len(raw.translate(None, _CONTROLS)) == len(raw) and not any(a in text for a in self.added):
+                return _PIECE.findall(text.lower())
+        return text.replace("\n", " ").split(" ")
+
     def text(self, text: str | None) -> bytes:
         """Ids of a whole text; null counts as empty."""
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        return b"".join(map(self.__getitem__, self.pieces(text))) if text else b""
 
 
 _made: dict[tuple, Chunks] = {}
 
 
+def chunks(text: str, encode: Callable[[str], list[int]], dtype: str) -> Chunks:
+    return Chunks(encode, dtype, splits_plainly(text), tuple(a["content"] for a in json.loads(text).get("added_tokens") or []))
+
+
 def library_chunks(text: str, dtype: str = "<u2") -> Chunks:
-    """Chunks encoded by the library; one for each vocabulary in a Python worker."""
+    """Pieces encoded by the library; one cache for each vocabulary in a Python worker."""
     key = ("library", hash(text), dtype)
     if key not in _made:
-        t = tokenizer(text)
-        _made[key] = Chunks(lambda s: t.encode(s, add_special_tokens=False).ids, dtype, lowers(t))
+        encode = tokenizer(text).encode
+        _made[key] = chunks(text, lambda s: encode(s, add_special_tokens=False).ids, dtype)
     return _made[key]
-
-
-def lowers(t) -> bool:
-    """Whether the vocabulary splits between letters and punctuation and lower-cases: measured on words of it."""
-    ids = lambda s: t.encode(s, add_special_tokens=False).ids
-    return all(ids(w + p) == ids(w.lower()) + ids(p) for w in ("Again", "EU", "no", "Straße") for p in (".", "!?", "'", '"),', "%%%"))
