@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import content_sort, host_paths, jump_shards, line_rules, personal_data, prefix_bpe, prefix_join, size_packing, token_files
+from . import content_sort, host_paths, jump_shards, line_rules, noisy_channel, personal_data, prefix_bpe, prefix_join, size_packing, token_files
 
 QUERIES = {
     "op1_token_files": token_files.query,
+    "op2_noisy_channel": noisy_channel.query,
     "op3_personal_data": personal_data.query,
     "op4_jump_shards": jump_shards.query,
     "op5_size_packing": size_packing.query,
