@@ -15,6 +15,11 @@ def doubles(c: Column) -> Column:
     return c.cast("array<double>")
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def norm(c: Column) -> Column:
     """L2 norm."""
     return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, e: a + e * e))
@@ -22,9 +27,10 @@ def norm(c: Column) -> Column:
 
 def amplitudes(c: Column) -> Column:
     """struct(amps, norm): unit amplitudes; zeros and norm 0 where the norm is tiny. Lengths must be powers of two."""
-    n = norm(c)
-    usable = n > TINY
-    return F.struct(F.transform(c, lambda e: F.when(usable, e / n).otherwise(0.0)).alias("amps"), F.when(usable, n).otherwise(0.0).alias("norm"))
+    return let(
+        norm(c),
+        lambda n: F.struct(F.transform(c, lambda e: F.when(n > TINY, e / n).otherwise(0.0)).alias("amps"), F.when(n > TINY, n).otherwise(0.0).alias("norm")),
+    )
 
 
 def with_ancilla(c: Column) -> Column:
@@ -34,14 +40,17 @@ def with_ancilla(c: Column) -> Column:
 
 def decremented(c: Column) -> Column:
     """new[k] = old[k + 1], cyclically."""
-    return F.concat(F.slice(c, F.lit(2), F.size(c) - 1), F.slice(c, 1, 1))
+    return let(c, lambda a: F.concat(F.slice(a, F.lit(2), F.size(a) - 1), F.slice(a, F.lit(1), F.lit(1))))
 
 
 def ancilla_hadamard(c: Column) -> Column:
     """Hadamard on the lowest qubit."""
-    half = F.sequence(F.lit(0), F.size(c) / 2 - 1)
-    even, odd = (lambda i: F.get(c, (2 * i).cast("int"))), (lambda i: F.get(c, (2 * i + 1).cast("int")))
-    return F.flatten(F.transform(half.cast("array<int>"), lambda i: F.array((even(i) + odd(i)) / math.sqrt(2), (even(i) - odd(i)) / math.sqrt(2))))
+
+    def pairs(a: Column) -> Column:
+        even, odd = F.filter(a, lambda _, i: i % 2 == 0), F.filter(a, lambda _, i: i % 2 == 1)
+        return F.flatten(F.zip_with(even, odd, lambda e, o: F.array((e + o) / math.sqrt(2), (e - o) / math.sqrt(2))))
+
+    return let(c, pairs)
 
 
 def statevector(amps: Column) -> Column:
@@ -56,8 +65,7 @@ def cyclic_differences(c: Column) -> Column:
 
 def differences_from_state(state: Column, n: Column) -> Column:
     """The same from a statevector."""
-    half = F.sequence(F.lit(0), (F.size(state) / 2 - 1).cast("int"))
-    return F.transform(half, lambda i: F.get(state, 2 * i + 1) * 2 * n)
+    return F.transform(F.filter(state, lambda _, i: i % 2 == 1), lambda a: a * 2 * n)
 
 
 def transposed(c: Column, t: int) -> Column:
@@ -82,11 +90,12 @@ def magnitude(c: Column, t: int) -> Column:
 
 
 def next_power_of_two(n: Column) -> Column:
-    return F.when(n <= 1, F.lit(1)).otherwise(F.shiftleft(F.lit(1), (F.length(F.bin((n - 1).cast("long")))).cast("int")))
+    return F.when(n <= 1, F.lit(1)).otherwise(F.call_function("shiftleft", F.lit(1), F.length(F.bin((n - 1).cast("long"))).cast("int")))
 
 
 def padded_to_power_of_two(c: Column) -> Column:
-    return F.concat(c, F.array_repeat(F.lit(0.0), (next_power_of_two(F.size(c)) - F.size(c)).cast("int")))
+    missing = (next_power_of_two(F.size(c)) - F.size(c)).cast("int")
+    return F.concat(c, F.when(missing > 0, F.transform(F.sequence(F.lit(1), F.greatest(missing, F.lit(1))), lambda _: F.lit(0.0))).otherwise(F.array().cast("array<double>")))
 
 
 def data_qubits(n: Column) -> Column:

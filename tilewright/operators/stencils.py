@@ -6,24 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("image_id", "h", "w", "y", "x")
-_ROW = Window.partitionBy("image_id", "y").orderBy("x")
-_COLUMN = Window.partitionBy("image_id", "x").orderBy("y")
+
+
+def _row():
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def _column():
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 def right(c: Column) -> Column:
-    return F.coalesce(F.lead(c).over(_ROW), c)
+    return F.coalesce(F.lead(c).over(_row()), c)
 
 
 def left(c: Column) -> Column:
-    return F.coalesce(F.lag(c).over(_ROW), c)
+    return F.coalesce(F.lag(c).over(_row()), c)
 
 
 def below(c: Column) -> Column:
-    return F.coalesce(F.lead(c).over(_COLUMN), c)
+    return F.coalesce(F.lead(c).over(_column()), c)
 
 
 def above(c: Column) -> Column:
-    return F.coalesce(F.lag(c).over(_COLUMN), c)
+    return F.coalesce(F.lag(c).over(_column()), c)
 
 
 def oriented(pixels: DataFrame) -> DataFrame:
