@@ -86,18 +86,25 @@ def test_every_order_of_prefixes_meets():
     r = random.Random(1)
     import numpy as np
 
-    for _ in range(300):
-        base = r.sample(range(10**6), r.randint(2, 60))
-        other = [x for x in base if r.random() > 0.07] + r.sample(range(10**6, 2 * 10**6), r.randint(0, 3))
-        x, y = (np.unique(np.array(s, dtype=np.uint64)) for s in (base, other))
-        if not len(y):
-            continue
-        both = len(np.intersect1d(x, y))
-        if 100 * both < 90 * (len(x) + len(y) - both):
+    vocabulary = [f"w{k}" for k in range(40)]
+    met = 0
+    for _ in range(400):
+        base = [r.choice(vocabulary) + str(r.randrange(9)) for _ in range(r.randint(1, 70))]
+        other = list(base)
+        for _ in range(r.randint(0, 2)):
+            other[r.randrange(len(other))] = "new" + str(r.randrange(99))
+        (wx, x), (wy, y) = (prefix_join._hashed(" ".join(t), 3) for t in (base, other))
+        sx, sy = np.unique(x), np.unique(y)
+        both = len(np.intersect1d(sx, sy))
+        if 100 * both < 90 * (len(sx) + len(sy) - both):
             continue
-        order = prefix_join.Order(np.array(r.sample(base, len(base) // 2), dtype=np.uint64), np.array([r.randint(3, 99) for _ in range(len(base) // 2)]))
-        (px, lx), (py, ly) = (prefix_join.prefix(*order.sort(s), 90, 100) for s in (x, y))
+        some = np.unique(np.concatenate([sx, sy]))[::2]
+        words = np.unique(np.concatenate([wx, wy]))[::3]
+        order = prefix_join.Order((some, np.array([r.randint(3, 99) for _ in some])), (words, np.array([r.randint(3, 9999) for _ in words])), 10**5)
+        (px, lx), (py, ly) = (prefix_join.prefix(*order.sort(w, s), 90, 100) for w, s in ((wx, x), (wy, y)))
         assert len(np.intersect1d(px, py)) >= min(lx, ly)
+        met += lx > 1 or ly > 1
+    assert met
 
 
 def test_components(spark):

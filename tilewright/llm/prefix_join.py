@@ -1,8 +1,10 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
 1. Every text becomes the set of its word shingles, as 64-bit hashes. Equal sets are one class.
-2. All documents share one order of shingles: seldom ones first. Counts come from a pass over all documents
-   that keeps what is frequent where it is read; the order only steers cost, any order gives the same links.
+2. All documents share one order of shingles: seldom ones first. A shingle's frequency is its count where it is known
+   to be frequent, or else what the frequencies of its words make likely: one with a seldom word is nearly always
+   alone. Counts of words and shingles come from a pass over all documents that keeps what is
+   frequent where it is read; the order only steers cost, any order gives the same links.
 3. Sets that link share at least ceil(t * size) shingles, so the first size - ceil(t * size) + l of each have
    l in common at least. Each class takes the l whose longer prefix is expected to cost least: entries to
    scan, and candidates to verify, of which there are fewer the more matches are asked for. A pair
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 from . import common
 from .graph import components
 
-#: Shingles counted at once where they are read, the least count that is passed on from there, and the most
-#: frequent ones that are kept for the order.
+#: Words and shingles counted at once where they are read, the least count that is passed on from there, and the most
+#: frequent ones of each that are kept for the order.
 FLUSH, LOCAL, FREQUENT = 4_000_000, 3, 200_000
-#: Prefix matches that may be asked for, and what verifying costs against scanning an entry.
-MATCHES, VERIFY = (1, 2, 3, 4), 20.0
+#: Prefix matches that may be asked for, what verifying costs against scanning an entry, and the partners that
+#: a shingle has at least when it is thought to have none.
+MATCHES, VERIFY, BACKGROUND = (1, 2, 3, 4, 6), 20.0, 0.01
 #: Rounds that verify one candidate for each component before all others are made.
 ROUNDS = 3
 #: Tables of at most this many narrow rows are broadcast; larger ones are shuffled.
@@ -56,62 +59,90 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The text's distinct shingles, sorted; with fewer words than ``size`` the whole sequence is one."""
+def _hashed(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, hash of each window of ``size`` words, or of the whole sequence if it is shorter)."""
     words = text.encode().translate(_LOWER).split() if text else []
     n = len(words)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
     w = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=n)
+    if not n:
+        return w, w
     k = min(size, n)
     h = np.full(n - k + 1, k, dtype=np.uint64)
     for j in range(k):
         h += w[j : n - k + 1 + j] * _ODD[j]
-    return np.unique(_mixed(h))
+    return w, _mixed(h)
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The text's distinct shingles, sorted; with fewer words than ``size`` the whole sequence is one."""
+    return np.unique(_hashed(text, size)[1])
 
 
 def _counting(size: int):
+    """Texts to (kind, token, n): kind 0 words, 1 shingles (once a text), 2 the number of words."""
+
     def run(batches):
-        held, n = [], 0
+        held, n, total = ([], []), 0, 0
 
         def flush():
-            found, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often], pa.int64())], ["token", "n"])
+            for kind, arrays in enumerate(held):
+                found, counts = np.unique(np.concatenate(arrays), return_counts=True)
+                often = counts >= LOCAL
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(often.sum(), kind), pa.int32()), pa.array(found[often].view(np.int64)), pa.array(counts[often], pa.int64())], ["kind", "token", "n"])
+                arrays.clear()
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(shingles(text, size))
-                n += len(held[-1])
+                words, windows = _hashed(text, size)
+                held[0].append(words)
+                held[1].append(np.unique(windows))
+                n += len(words)
+                total += len(words)
                 if n >= FLUSH:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
+                    yield from flush()
+                    n = 0
+        if held[0]:
+            yield from flush()
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["kind", "token", "n"])
 
     return run
 
 
-class Order:
-    """The common order: by frequency where it is known, then by hash."""
+class _Known:
+    """Counts of some hashes; 0 for all others."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         order = np.argsort(tokens, kind="stable")
-        self.tokens, self.counts = tokens[order], counts[order]
+        self.tokens, self.counts = tokens[order], counts[order].astype(np.float64)
         self.seen = np.zeros(1 << 20, dtype=bool)
         self.seen[(self.tokens & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
-    def sort(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(shingles in order, their counts; 0 where unknown)."""
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h))
         maybe = np.flatnonzero(self.seen[(h & np.uint64(0xFFFFF)).astype(np.int64)])
-        if not len(maybe) or not len(self.tokens):
-            return h, np.zeros(len(h), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.tokens, h[maybe]), len(self.tokens) - 1)
-        hit = self.tokens[at] == h[maybe]
-        counts = np.zeros(len(h), dtype=np.int64)
-        counts[maybe[hit]] = self.counts[at[hit]]
-        order = np.argsort(counts, kind="stable")  # h is sorted by hash already
-        return h[order], counts[order]
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.tokens, h[maybe]), len(self.tokens) - 1)
+            hit = self.tokens[at] == h[maybe]
+            out[maybe[hit]] = self.counts[at[hit]]
+        return out
+
+
+class Order:
+    """The common order of shingles: by frequency, known or likely, in steps of a factor of 2; then by hash."""
+
+    def __init__(self, shingles: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], total: int):
+        self.shingles, self.words, self.total = _Known(*shingles), _Known(*words), max(1, total)
+
+    def sort(self, words: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct shingles in order, their frequencies)."""
+        h, first = np.unique(windows, return_index=True)
+        p = np.log(np.maximum(self.words(words), 1.0) / self.total)
+        k = len(words) - len(windows) + 1  # words of a shingle
+        likely = np.sum([p[j : len(p) - k + 1 + j] for j in range(k)], axis=0)[first] + np.log(self.total)
+        frequency = np.maximum(self.shingles(h), np.exp(np.minimum(likely, 40.0)))
+        step = np.ceil(np.log2(np.maximum(frequency, 2.0**-20)))
+        order = np.argsort(step, kind="stable")  # h is sorted by hash already
+        return h[order], frequency[order]
 
 
 def required(n: int, part: int, whole: int) -> int:
@@ -119,7 +150,7 @@ def required(n: int, part: int, whole: int) -> int:
     return -(-part * n // whole)
 
 
-def prefix(h: np.ndarray, counts: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, int]:
+def prefix(h: np.ndarray, frequency: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, int]:
     """(prefix, matches to ask for) of a set in the common order."""
     n, need = len(h), required(len(h), part, whole)
     best = None
@@ -127,8 +158,7 @@ def prefix(h: np.ndarray, counts: np.ndarray, part: int, whole: int) -> tuple[np
         if ell > need:
             break
         end = n - need + ell
-        scan = float(counts[:end].sum())
-        cost = scan * (1 + VERIFY / ell)
+        cost = float((frequency[:end] + BACKGROUND).sum()) * (1 + VERIFY / (ell * ell))
         if best is None or cost < best[0]:
             best = (cost, end, ell)
     return h[: best[1]], best[2]
@@ -141,10 +171,14 @@ def _describing(size: int, part: int, whole: int, order):
         for batch in batches:
             sizes, sigs, prefixes, ells = [], [], [], []
             for text in batch.column(2).to_pylist():
-                h = shingles(text, size)
+                words, windows = _hashed(text, size)
+                if len(windows):
+                    h, frequency = order.value.sort(words, windows)
+                    p, ell = prefix(h, frequency, part, whole)
+                else:
+                    h, p, ell = windows, windows, 0
                 sizes.append(len(h))
-                sigs.append(xxhash.xxh3_128_digest(h.tobytes()))
-                p, ell = prefix(*order.value.sort(h), part, whole) if len(h) else (h, 0)
+                sigs.append(xxhash.xxh3_128_digest(np.sort(h).tobytes()))
                 prefixes.append(p.view(np.int64))
                 ells.append(ell)
             yield pa.RecordBatch.from_arrays(
@@ -198,10 +232,15 @@ class Join:
         return rows.drop("prefix", "ell"), self._labelled(classes)
 
     def _rows(self) -> DataFrame:
-        counts = self.plain.select("text").mapInArrow(_counting(self.size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-        order = Order(top["token"].to_numpy().view(np.uint64), top["n"].to_numpy())
-        shared = self.spark.sparkContext.broadcast(order)
+        counted = self.plain.select("text").mapInArrow(_counting(self.size), "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+        counted = common.written(counted, "word-counts")
+
+        def most(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            top = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+            return top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
+
+        total = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+        shared = self.spark.sparkContext.broadcast(Order(most(1), most(0), total))
         return common.written(
             self.plain.mapInArrow(_describing(self.size, self.part, self.whole, shared), "doc_id long, text_key string, n long, sig binary, prefix array<long>, ell int"), "shingle-rows"
         )
