@@ -27,12 +27,12 @@ from .graph import components
 
 #: Words and shingles counted at once where they are read, the least count that is passed on from there, and the most
 #: frequent ones of each that are kept for the order.
-FLUSH, LOCAL, FREQUENT = 4_000_000, 3, 200_000
+FLUSH, LOCAL, FREQUENT = 1_500_000, 3, 200_000
 #: Prefix matches that may be asked for, what verifying costs against scanning an entry, and the partners that
 #: a shingle has at least when it is thought to have none.
 MATCHES, VERIFY, BACKGROUND = (1, 2, 3, 4, 6), 20.0, 0.01
 #: Rounds that verify one candidate for each component before all others are made.
-ROUNDS = 3
+ROUNDS = 2
 #: Tables of at most this many narrow rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -44,7 +44,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -200,9 +200,9 @@ def _sets(size: int):
 def _verifying(part: int, whole: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            keep, left, right = [], batch.column(2), batch.column(3)
+            for k in range(batch.num_rows):  # views of the batch, not copies
+                x, y = (np.frombuffer(c[k].as_buffer(), dtype=np.uint64) for c in (left, right))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if whole * both >= part * (len(x) + len(y) - both):
                     keep.append(k)
