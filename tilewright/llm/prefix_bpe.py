@@ -27,7 +27,7 @@ from . import common, vocab
 
 VOCABULARY = "word_bpe_49k.json"
 #: Prefixes and pairs kept before the tables are emptied; prefixes longer than LONGEST aren't kept.
-PREFIXES, PAIRS, LONGEST = 400_000, 1_000_000, 24
+PREFIXES, PAIRS, LONGEST = 300_000, 500_000, 24
 #: The last symbol of a piece is this much above the character itself.
 MARK = 0x10000
 
