@@ -107,7 +107,9 @@ def test_every_order_of_prefixes_meets():
     assert met
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [100_000, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     r = random.Random(3)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
