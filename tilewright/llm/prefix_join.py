@@ -256,6 +256,9 @@ class Join:
         entries = classes.select("node", "n", "ell", F.explode("prefix").alias("token"))
         info = common.written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "shared-shingles")
         entries = common.written(entries.join(small(info), "token"), "shared-entries")
+        # A class most of whose prefix is shared is near the middle of its group: it leads.
+        central = common.written(entries.groupBy("node").agg(F.count(F.lit(1)).alias("s")), "shared-counts")
+        entries = common.written(entries.join(small(central), "node"), "central-entries")
         nodes = entries.select("node", F.col("node").alias("comp")).distinct()
         labels = common.written(nodes, "labels")
         tried = None
@@ -284,10 +287,14 @@ class Join:
     def _leader_pairs(self, entries: DataFrame, labels: DataFrame) -> DataFrame:
         """For each component the pair with the leader that it shares most prefix shingles with: a < b by (n, node)."""
         e = entries.join(small(labels), "node")
-        lead = e.groupBy("token").agg(F.min(F.struct("n", "node", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "lead")
+        first = F.min(F.struct((-F.col("s")).alias("s"), "n", "node", "comp"))
+        lead = e.groupBy("token").agg(first.alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "lead")
         lead = common.written(lead, "leaders")
-        met = e.join(small(lead), "token").where((F.col("comp") != F.col("lead.comp")) & self._fits(F.col("lead.n"), F.col("n")))
-        counted = met.groupBy("comp", F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        fits = self._fits(F.least("n", F.col("lead.n")), F.greatest("n", F.col("lead.n")))
+        met = e.join(small(lead), "token").where((F.col("comp") != F.col("lead.comp")) & fits)
+        before = (F.col("lead.n") < F.col("n")) | ((F.col("lead.n") == F.col("n")) & (F.col("lead.node") < F.col("node")))
+        a, b = F.when(before, F.col("lead.node")).otherwise(F.col("node")), F.when(before, F.col("node")).otherwise(F.col("lead.node"))
+        counted = met.groupBy("comp", a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("c"))
         best = counted.groupBy("comp").agg(F.max(F.struct("c", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x"))
         return best.select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b")).distinct()
 
