@@ -63,6 +63,30 @@ def test_restores(model):
     assert "idiot" in nc.tokens("an i d i o t here") and nc.tokens("a b here") == ["a", "b", "here"]
 
 
+def test_every_reading_of_signs_at_the_ends_and_of_repeated_letters(model):
+    r = nc.Restorer(model)
+    for token, word in (("idio+", "idiot"), ("idio+!!", "idiot"), ("(<moron", "cmoron"), ("+ha+", "that"), ("a$$", "ass"), ("@$$,", "ass"), ("idiiot", "idiot"), ("stuupid", "stupid"), ("asshoole", "asshole"), ("looserr", "loser")):
+        assert word in r.readings(token), token
+    assert r.readings("idiot!")[0] == r.readings("idiot")[0] == "idiot" and r.readings("***") == ()
+    assert len(r.readings("aabbccddee" * 4)) <= 3 and len(r.readings("+++++idiot+++++")) <= 64
+
+
+def test_spaced_rows_are_cut_into_words(model):
+    for text in ("a n i d i o t here", "t h e r e i d i o t", "y o u i d i o t", "t h e m 0 r o n on"):
+        assert {"idiot", "moron"} & set(nc.tokens(text, model)), text
+    assert nc.tokens("a b here", model) == ["a", "b", "here"]
+
+
+def test_new_forms_are_toxic(spark, corpus):
+    docs = spark.createDataFrame([(k, t) for k, t, _ in corpus], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in corpus], "doc_id long, toxic int")
+    r = random.Random(3)
+    hidden = [" ".join([*prose(r, 12), w, *prose(r, 12)]) for w in ("idio+", "$tupid!!", "idiiot", "mooronn", "t h e r e i d i o t", "worth|es$")]
+    clean = [" ".join(w + s for w, s in zip(prose(r, 25), "!*#+)" * 5, strict=True)) for _ in hidden]
+    out = [x.score for x in nc.fit(docs, labels).score(spark.createDataFrame(list(enumerate(hidden + clean)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(s >= 0.5 for s in out[:6]) and all(s < 0.5 for s in out[6:]), out
+
+
 def test_held_out_accuracy_and_disguise(spark, corpus):
     docs = spark.createDataFrame([(k, t) for k, t, _ in corpus] + [(1000, None), (1001, ""), (None, "an idiot")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, y) for k, _, y in corpus if k % 3] + [(None, 1), (1, None)], "doc_id long, toxic int")

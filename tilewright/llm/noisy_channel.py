@@ -3,9 +3,11 @@
 Restoring. A token with signs or digits in it, or with a letter three times in a row, and a row of single
 letters between blanks, become a lattice: a sign may be a letter it looks like, or nothing; a repeated letter may be
 dropped; each at a cost. Viterbi decoding finds the letters of least cost under the channel and a trigram
-model of characters, counted over all texts of the corpus. Other tokens are their own letters.
+model of characters, counted over all texts of the corpus. Other tokens are their own letters. Where the form of a
+token doesn't tell, each reading counts: signs at its ends as letters or as nothing, repeated letters once or twice;
+a row of single letters is also cut into words, from each letter on, where a boundary costs less than joining.
 
-Scoring. Each restored word has a weight: the lower bound of the log odds that it, or a beginning of it, has among
+Scoring. Each restored word has a weight (a token that of its best reading): the lower bound of the log odds that it, or a beginning of it, has among
 toxic texts. A logistic model over a text's largest weights and their number gives the score. Weights
 are fitted on one half of at most TRAIN_ROWS labelled rows, the logistic model on the other; near copies of a
 text count once.
@@ -13,7 +15,9 @@ text count once.
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -41,6 +45,10 @@ LOOKS = {
 #: 3 nats under the model, and a seldom one 10, so the first kind must cost more to leave out than to read.
 AS_LETTER, DROPPED, SURE, UNSURE, AS_NOTHING = 1.0, 0.5, 14.0, 4.0, 0.5
 _SURE = frozenset("0123456789@$€£¢§")
+#: Signs at either end, and repeated letters of a word, that are read in every way.
+EDGE, REPEATS = 3, 3
+#: Characters of a row of single letters that a word in it is looked for in.
+ROW = 16
 
 #: Characters of the model: 0 for what is no letter, a to z, ß to ÿ, and one for all other letters.
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
@@ -83,8 +91,11 @@ class CharacterModel:
         p3 = (n3 + 5 * p2[None]) / (n3.sum(axis=2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).astype(np.float32)
 
-    def decode(self, token: str) -> str:
-        """The letters of least cost for a lower-case token."""
+    def decode(self, token: str, core: tuple[int, int] | None = None, spaced: bool = False) -> str:
+        """The letters of least cost for a lower-case token; signs outside of ``core`` that look like letters are letters.
+
+        With ``spaced``, a boundary of words, a blank in the result, may stand between any two characters.
+        """
         cost = self.cost
         states = {(0, 0): (0.0, None)}  # last two codes -> (cost, (letter, what came before))
         for k, c in enumerate(token):
@@ -93,6 +104,14 @@ class CharacterModel:
                 arcs, nothing = [(c, own, 0.0)], DROPPED if k and token[k - 1] == c else None
             else:
                 arcs, nothing = [(x, _CODE[x], AS_LETTER + math.log(len(LOOKS[c]))) for x in LOOKS.get(c, "")], SURE if c in _SURE else UNSURE if c in LOOKS else AS_NOTHING
+                if core and c in LOOKS and not core[0] <= k < core[1]:
+                    nothing = None
+            if spaced:
+                ends = [(t + float(cost[a, b, 0]), p) for (a, b), (t, p) in states.items() if b]
+                if ends:
+                    t, p = min(ends, key=lambda x: x[0])
+                    if (0, 0) not in states or t < states[0, 0][0]:
+                        states[0, 0] = (t, (" ", p))
             for (a, b), (total, path) in states.items():
                 for letter, x, price in arcs:
                     t = total + price + float(cost[a, b, x])
@@ -122,12 +141,26 @@ def suspicious(word: str) -> bool:
     return not word.isalpha() or any(word[k] == word[k + 1] == word[k + 2] for k in range(len(word) - 2))
 
 
+_REPEATED = re.compile(r"(.)\1+")
+
+
+def repeats(word: str) -> list[str]:
+    """The word, then it with each repeated letter once or twice; where many are repeated, with all of them once or twice."""
+    runs = list(_REPEATED.finditer(word))
+    if not runs:
+        return [word]
+    if len(runs) > REPEATS:
+        return [word, _REPEATED.sub(r"\1", word), _REPEATED.sub(r"\1\1", word)]
+    pieces = [word[a:b] for a, b in zip([0, *(m.end() for m in runs)], [*(m.start() for m in runs), len(word)], strict=True)]
+    return [word, *(pieces[0] + "".join(m[1] * n + p for m, n, p in zip(runs, times, pieces[1:], strict=True)) for times in itertools.product((1, 2), repeat=len(runs)))]
+
+
 class Restorer(dict):
     """The restored word of each token between blanks; empty where nothing is left."""
 
     def __init__(self, model: CharacterModel):
         super().__init__()
-        self.model = model
+        self.model, self.known = model, {}
 
     def restore(self, token: str) -> str:
         low = token.lower()
@@ -139,6 +172,33 @@ class Restorer(dict):
             return ""  # nothing but signs, or a number
         return self.model.decode(word) if suspicious(word) else word
 
+    def readings(self, token: str) -> tuple[str, ...]:
+        """All words that a token may stand for, the restored one first; none where nothing is left."""
+        got = self.known.get(token)
+        if got is None:
+            got = tuple(dict.fromkeys(v for w in self._words(token) if w for v in repeats(w)))
+            if len(token) <= 48:
+                if len(self.known) >= 200_000:
+                    self.known.clear()
+                self.known[token] = got
+        return got
+
+    def _words(self, token: str) -> list[str]:
+        """The restored word, and those with signs at the ends read as letters."""
+        low, out = token.lower(), [self.restore(token)]
+        if low.isalpha():
+            return out
+        start, end = len(low) - len(low.lstrip(_STARTS)), len(low.rstrip(_ENDS))
+        if start >= end:  # nothing but signs: a word only if they differ
+            return [*out, self.model.decode(low, (0, 0))] if len(low) <= 12 and len(set(low) & LOOKS.keys()) >= 3 else out
+        if end - start > 12 and not any(c.isalpha() for c in low[start:end]):
+            return out
+        starts = [k for k in range(start) if low[k] in LOOKS][-EDGE:]
+        ends = [k + 1 for k in range(end, len(low)) if low[k] in LOOKS][:EDGE]
+        plain = [k for k in range(start, end) if low[k].isalnum()]
+        first, last = (plain[0], plain[-1] + 1) if plain else (start, start)
+        return out + [self.model.decode(low[i:j], (first - i, last - i)) for i in [start, *starts] for j in [end, *ends] if (i, j) != (start, end)]
+
     def __missing__(self, token: str) -> str:
         got = self.restore(token)
         if len(token) <= 48:
@@ -148,8 +208,14 @@ class Restorer(dict):
         return got
 
 
-def tokens(text: str) -> list[str]:
-    """Tokens between white space; three or more single characters in a row become one, and those without an end of it."""
+def words_within(row: str, model: CharacterModel) -> set[str]:
+    """From each character of a joined row, the first word of the least cost of joining or a boundary between any two characters of the next ROW."""
+    first = (model.decode(row[k : k + ROW], spaced=True).split() for k in range(len(row)))
+    return {w[0] for w in first if w and len(w[0]) >= 3}
+
+
+def tokens(text: str, model: CharacterModel | None = None) -> list[str]:
+    """Tokens between white space; three or more single characters in a row become one, those without an end of it, and the words within by ``model``."""
     found = text.split()
     singles = [k for k, t in enumerate(found) if len(t) == 1]
     if len(singles) < 3 or not any(b - a == 2 for a, b in zip(singles, singles[2:], strict=False)):
@@ -162,6 +228,8 @@ def tokens(text: str) -> list[str]:
         if end - k >= 3:
             row = "".join(found[k:end])
             out += [row, row[1:], row[:-1], row[1:-1]]  # a word of one letter may stand beside
+            if model is not None and any(c.isalpha() for c in row):
+                out += sorted(words_within(row.lower(), model) - set(out[-4:]))
             k = end
         else:
             out.append(found[k])
@@ -185,8 +253,8 @@ class Scorer(dict):
         self.restorer, self.weights = restorer, weights
 
     def __missing__(self, token: str) -> float:
-        word, get = self.restorer.restore(token), self.weights.get
-        got = max((get(f, 0.0) for f in _features(word)), default=0.0) if word else 0.0
+        get = self.weights.get
+        got = max((get(f, 0.0) for w in self.restorer.readings(token) for f in _features(w)), default=0.0)
         got = got if got > 0 else 0.0
         if len(token) <= 48:
             if len(self) >= 400_000:
@@ -196,7 +264,7 @@ class Scorer(dict):
 
     def figures(self, text: str | None) -> list[float]:
         """What the logistic model sees of a text."""
-        found = tokens(text or "")
+        found = tokens(text or "", self.restorer.model)
         w = np.fromiter(map(self.__getitem__, found), dtype=np.float64, count=len(found))
         w = np.sort(w[w > 0])[::-1]
         hits = int((w > 2).sum())
@@ -261,7 +329,8 @@ def _counting(shared):
             for doc_id, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if half_of(doc_id):
                     continue
-                features = {f for w in set(map(restorer.__getitem__, tokens(text or ""))) if w for f in _features(w)}
+                words = {w for t in set(tokens(text or "", restorer.model)) for w in restorer.readings(t)}
+                features = {f for w in words for f in _features(w)}
                 for f in features:
                     counts.setdefault(f, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["feature", "toxic", "clean"])
