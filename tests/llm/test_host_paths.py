@@ -31,6 +31,21 @@ def test_votes():
     assert votes[0] == ("/html/body/div.page/div.body.story-", 1.0) and votes[1][1] <= 0.75
 
 
+def test_minority_templates_are_extracted_at_their_own_container(spark):
+    words = "words of the story that go on for a good while "
+    junk = "<div class='box'><p>links and other things</p></div>"
+    forms = ["<article><p>%s</p></article>", *(f"<div class='{c}'><p>%s</p></div>" for c in ("post", "entry", "text", "item"))]
+    rows = []
+    for k in range(40):
+        form = forms[0 if k < 20 else 1 + k % 4]
+        rows.append((k, "http://t.example.org/", f"<html><body>{form % (words * 3 + str(k))}{junk}</body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in hp.main_text(df).collect()} == {k: words * 3 + str(k) for k in range(40)}
+    assert len(hp.winning_paths(df).first().paths) == 5
+    post = f"<html><body><div class='post'><p>{words}</p></div>{junk}</body></html>"
+    assert hp.extract(post, ["/html/body/article", "/html/body", "/html/body/div.post"]) == words.strip()
+
+
 def brute(rows):
     """Votes of all pages in dictionaries, then extraction."""
     votes = {}

@@ -3,9 +3,12 @@
 1. Each page is parsed and its containers are scored by the text that stands in them, outside of links and
    of parts that are never content; text counts half as much for each container further out.
 2. A container votes for its generalised path (tags with their classes, digits removed) with its share
-   of the page's best score. Spark adds up the votes by host; the WINNERS paths with most votes stay.
-3. Each page is extracted again from the elements at the first of its host's paths that it has; a page
-   that has none of them uses its own best container, or else the whole body.
+   of the page's best score. Spark adds up the votes by host, without those for containers around a page's
+   best one. A path stays if it is the best of at least SHARE of the host's pages, or of the WINNERS paths that are
+   the best of most pages.
+3. Each page is extracted again from the elements at the first of its host's paths that it has, or at a
+   kept path below that which scores better on this page; a page that has none of them uses its own best
+   container, or else the whole body.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Votes that a page casts, and paths that a host keeps.
+#: Votes that a page casts, paths that a host keeps whatever their share, and the share of its pages from which it keeps others.
 VOTES, WINNERS = 3, 3
+SHARE = 0.01
 #: A class or id below marks a part as no content only if it holds at most this share of the page's text.
 PART = 0.5
-#: Tables of at most this many rows are broadcast; larger ones are shuffled.
+#: Tables of at most this many paths are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 
 _TOKEN = re.compile(
@@ -172,11 +176,21 @@ class Page:
         return " ".join(entities.unescape(joined).split())
 
     def extract(self, paths: list[str]) -> str:
-        for path in paths:
-            found = [k for k, p in enumerate(self.path) if p == path and not self.dropped[k]]
-            if found and (text := self.inside(found)):
-                return text
+        at: dict[str, list[int]] = {}
+        for k, path in enumerate(self.path):
+            if not self.dropped[k]:
+                at.setdefault(path, []).append(k)
+        found = [p for p in paths if p in at]
         best = self.scores()
+        score: dict[str, float] = {}
+        for s, k in best:
+            score.setdefault(self.path[k], s)
+        for path in found:
+            # A container around the one at a kept path must not take its place.
+            below = [p for p in found if p.startswith(path + "/") and score.get(p, 0.0) > score.get(path, 0.0)]
+            chosen = max(below, key=lambda p: score[p], default=path)
+            if text := self.inside(at[chosen]):
+                return text
         if best:
             return self.inside([best[0][1]])
         return self.inside([0])
@@ -201,13 +215,17 @@ def host_of(url: Column) -> Column:
 
 def _voting(batches):
     for batch in batches:
-        hosts, paths, shares = [], [], []
+        hosts, paths, shares, firsts = [], [], [], []
         for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for path, share in votes_of(html):
+            votes = votes_of(html)
+            for k, (path, share) in enumerate(votes):
+                if k and votes[0][0].startswith(path + "/"):
+                    continue
                 hosts.append(host)
                 paths.append(path)
                 shares.append(share)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], ["host", "path", "share"])
+                firsts.append(int(k == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.float64()), pa.array(firsts, pa.int64())], ["host", "path", "share", "first"])
 
 
 def _extracting(batches):
@@ -218,12 +236,13 @@ def _extracting(batches):
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the paths with most votes, best first; equal votes by path."""
-    cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_voting, "host string, path string, share double")
+    """(host, paths): the paths that stay, those with most votes first; equal votes by path."""
+    cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_voting, "host string, path string, share double, first long")
     # Shares are added as whole millionths, so that their order doesn't matter.
-    votes = cast.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1e6).cast("long")).alias("votes"))
+    votes = cast.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1e6).cast("long")).alias("votes"), F.sum("first").alias("firsts")).where("firsts > 0")
+    most = F.row_number().over(Window.partitionBy("host").orderBy(F.col("firsts").desc(), F.col("votes").desc(), "path"))
     first = F.row_number().over(Window.partitionBy("host").orderBy(F.col("votes").desc(), "path"))
-    best = votes.withColumn("place", first).where(F.col("place") <= WINNERS)
+    best = votes.withColumns({"place": first, "most": most, "n": F.sum("firsts").over(Window.partitionBy("host"))}).where((F.col("most") <= WINNERS) | (F.col("firsts") >= F.lit(SHARE) * F.col("n")))
     return best.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
 
 
@@ -234,7 +253,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     extracted each; an empty table gives an empty result; other columns are not read.
     """
     winners = common.written(winning_paths(pages), "host-paths")
-    winners = F.broadcast(winners) if winners.count() <= BROADCAST_ROWS else winners
+    winners = F.broadcast(winners) if (winners.agg(F.sum(F.size("paths"))).first()[0] or 0) <= BROADCAST_ROWS else winners
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     joined = plain.withColumn("host", host_of(F.col("url"))).join(winners, "host", "left")
     return joined.select("page_id", "url", "html", "paths").mapInArrow(_extracting, "page_id long, url string, text string, n_chars long")
