@@ -26,6 +26,17 @@ def test_marked_part_with_most_text_stays():
     assert hp.extract('<body><div class="content-with-sidebar"><p>all of the text is in here</p></div></body>', []) == "all of the text is in here"
 
 
+def test_comments_go_however_long_they_are():
+    story, said = "<p>the story is only one line long</p>", "<p>a reader says much more than the story does</p>" * 30
+    want = "the story is only one line long"
+    assert hp.extract(f'<body><article>{story}<div class="comments">{said}</div></article></body>', []) == want
+    assert hp.extract(f'<body><article>{story}</article><div id="comments">{said}</div></body>', []) == want
+    assert hp.votes_of(f'<body><article>{story}</article><div id="comments">{said}</div></body>')[0][0] == "/body/article"
+    assert hp.extract(f'<body><div class="with-sidebar">{story}<div class="comments"><div class="comment">{said}</div></div></div><footer>one more line of the footer</footer></body>', []) == want
+    assert hp.extract(f'<body><h1>A title that is quite long</h1><div class="with-sidebar">{story * 9}</div></body>', []).endswith(want)
+    assert hp.extract(f'<body><p>posted by someone three days ago</p><div class="with-sidebar"><h1>T</h1>{story * 9}</div></body>', []).endswith(want)
+
+
 def test_votes():
     votes = hp.votes_of(PAGE % ("many words " * 20))
     assert votes[0] == ("/html/body/div.page/div.body.story-", 1.0) and votes[1][1] <= 0.75

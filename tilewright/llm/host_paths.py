@@ -25,8 +25,9 @@ from . import common
 #: Votes that a page casts, paths that a host keeps whatever their share, and the share of its pages from which it keeps others.
 VOTES, WINNERS = 3, 3
 SHARE = 0.01
-#: A class or id below marks a part as no content only if it holds at most this share of the page's text.
-PART = 0.5
+#: A class or id below marks a part as no content if it holds at most this share of the page's text, or if a block outside of
+#: it has at least REST characters of text. Only a wrapper with the page's title or main element in it needs the share.
+PART, REST = 0.5, 20
 #: Tables of at most this many paths are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -142,12 +143,37 @@ class Page:
         for k in range(len(total) - 1, 0, -1):
             total[self.parent[k]] += total[k]
         self.total = total
+        outside = self._outside(marked)
         for k in marked:
-            if self.tag[k] not in ("body", "html", "main") and total[k] <= PART * total[0]:
+            if self.tag[k] not in ("body", "html", "main") and (total[k] <= PART * total[0] or outside[k]):
                 self.dropped[k] = True
         for k in range(1, len(total)):
             self.dropped[k] = self.dropped[k] or self.dropped[self.parent[k]]
 
+    def _outside(self, marked: list[int]) -> dict[int, bool]:
+        """Whether each marked part is no wrapper and text stands outside of it, in no other marked part that doesn't hold it."""
+        if not marked:
+            return {}
+        near, is_marked = [0] * len(self.tag), set(marked)  # the innermost marked part that a block is or stands in
+        rest, wraps = dict.fromkeys((0, *marked), False), set()
+        for k in range(len(self.tag)):
+            near[k] = k if k in is_marked else near[self.parent[k]] if k else 0
+            heading = self.tag[k] in ("h1", "h2", "h3", "h4", "h5", "h6")
+            if self.text[k] >= REST and not heading and not self.dropped[k]:
+                rest[near[k]] = True
+            if self.tag[k] in ("h1", "main") and not self.dropped[k]:
+                wraps.add(near[k])
+        for k in reversed(marked):  # what a part holds, those around it hold as well
+            if k in wraps:
+                wraps.add(near[self.parent[k]])
+        out = {}
+        seen = {0: False}
+        for k in marked:
+            up = near[self.parent[k]]
+            seen[k] = seen[up] or rest[up]
+            out[k] = seen[k] and k not in wraps
+        return out
+
     def scores(self) -> list[tuple[float, int]]:
         """(score, block) of the containers with text, best first; equal scores in page order."""
         score: dict[int, float] = {}
