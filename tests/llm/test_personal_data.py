@@ -40,6 +40,17 @@ def test_base_spans_are_the_patterns():
     assert pd_.base_spans("a@b." + "@" * 50 + "x@y.z@w.v") == brute_base("a@b." + "@" * 50 + "x@y.z@w.v")
 
 
+def test_each_spelling_of_an_address_is_a_candidate():
+    pairs = [("[", "]"), ("(", ")"), ("{", "}"), ("<", ">")]
+    ats = ["@", " @ ", " at ", " AT ", "_at_", *(f"{a}{x}{b}" for a, b in pairs for x in ("at", "@", " at ")), *(f" {a}at{b} " for a, b in pairs)]
+    dots = [".", " dot ", " DOT ", "_dot_", *(f"{a}{x}{b}" for a, b in pairs for x in ("dot", ".", " dot ", " . ")), *(f" {a}{x}{b} " for a, b in pairs for x in ("dot", "."))]
+    for at in ats:
+        for dot in dots:
+            text = f"write to jane{at}example{dot}com"
+            found = [text[a:b] for k, a, b in pd_.candidates(text) if k == "email"]
+            assert any(s.endswith("com") and "example" in s for s in found), text
+
+
 def test_held_out_accuracy(fitted):
     right = wrong = missed = 0
     for text, spans in pd_.synthetic(500, seed=123):

@@ -104,7 +104,8 @@ def _emails(text: str):
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\sat\s|\sAT\s|_at_)"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s|\sDOT\s|_dot_|\.)"
 _MAIL = re.compile(rf"(?<![\w.%+-])[\w.%+-]{{1,64}}(?:{_DOT}[\w%+-]{{1,64}}){{0,3}}{_AT}[\w-]{{1,63}}(?:{_DOT}[\w-]{{2,63}}){{1,4}}", re.I)
-_MAIL_SIGN = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sat\s[^\n]{1,80}?(?:\sdot\s|[\[({<]\s?dot|\.[a-z])|_at_", re.I)
+#: What each match of _MAIL has in it.
+_MAIL_SIGN = re.compile(_AT, re.I)
 _IPV4 = re.compile(r"(?<![\d.])\d{1,3}(?:\s?[.,·]\s?|\s?[\[({](?:\.|dot)[\])}]\s?|\sdot\s|-)\d{1,3}(?:(?:\s?[.,·]\s?|\s?[\[({](?:\.|dot)[\])}]\s?|\sdot\s|-)\d{1,3}){2}(?!\d)", re.I)
 _IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")
 #: Runs of digits and what may stand between them; a run is a group, and candidates are rows of groups.
