@@ -101,8 +101,13 @@ def test_every_order_of_prefixes_meets():
         some = np.unique(np.concatenate([sx, sy]))[::2]
         words = np.unique(np.concatenate([wx, wy]))[::3]
         order = prefix_join.Order((some, np.array([r.randint(3, 99) for _ in some])), (words, np.array([r.randint(3, 9999) for _ in words])), 10**5)
-        (px, lx), (py, ly) = (prefix_join.prefix(*order.sort(w, s), 90, 100) for w, s in ((wx, x), (wy, y)))
-        assert len(np.intersect1d(px, py)) >= min(lx, ly)
+        (px, kx, lx), (py, ky, ly) = (prefix_join.prefix(*order.sort(w, s), 90, 100) for w, s in ((wx, x), (wy, y)))
+        if len(sx) <= len(sy):
+            assert len(np.intersect1d(px[:kx], py)) >= min(lx, ly)
+        if len(sy) <= len(sx):
+            assert len(np.intersect1d(px, py[:ky])) >= min(lx, ly)
+        differ = int(np.bitwise_count((prefix_join.parities(sx) ^ prefix_join.parities(sy)).view(np.uint64)).sum())
+        assert differ <= len(sx) + len(sy) - 2 * both
         met += lx > 1 or ly > 1
     assert met
 

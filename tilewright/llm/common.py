@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or our own in local mode where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tilewright-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -35,7 +41,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` returned; only what has been written itself may have been made from them."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: What empties the caches of each module in a Python worker, and the module whose stage ran last there.
+_clearers: dict[str, Callable[[], None]] = {}
+_running = [""]
+
+
+def cached(owner: str, clear: Callable[[], None]) -> None:
+    """Registers what empties the caches that ``owner`` keeps between tasks."""
+    _clearers[owner] = clear
+
+
+def begin(owner: str) -> None:
+    """To be called where a task starts: if another module ran in this worker before, its caches go and free memory is given back."""
+    if _running[0] == owner:
+        return
+    for other, clear in _clearers.items():
+        if other != owner:
+            clear()
+    if _running[0]:
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+    _running[0] = owner
 
 
 def free_name(df: DataFrame, name: str) -> str:

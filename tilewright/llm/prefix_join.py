@@ -4,12 +4,18 @@
 2. All documents share one order of shingles: seldom ones first. A shingle's frequency is its count where it is known
    to be frequent, or else what the frequencies of its words make likely: one with a seldom word is nearly always
    alone. Counts of words and shingles come from a pass over all documents that keeps what is
-   frequent where it is read; the order only steers cost, any order gives the same links.
-3. Sets that link share at least ceil(t * size) shingles, so the first size - ceil(t * size) + l of each have
+   frequent where it is read; the order only steers cost, any order gives the same links. It is made of
+   integers that the driver works out, so that all executors agree on it.
+3. Sets x and y that link at t share o >= t / (1 + t) * (|x| + |y|) shingles. With a larger partner a set shares
+   2t / (1 + t) of its own at least, with a smaller one t of them. So the first |x| - ceil(2t / (1 + t) * |x|) + l
+   of the smaller set (its short prefix) and the first |y| - ceil(t * |y|) + l of the larger (its long prefix) have
    l in common at least. Each class takes the l whose longer prefix is expected to cost least: entries to
    scan, and candidates to verify, of which there are fewer the more matches are asked for. A pair
    must share as many prefix shingles as the smaller l of the two.
-4. Candidates are verified on the whole sets, read again from the texts. Before all of them are made, some rounds
+4. Two bounds on o, exact on integers, are conditions of the join itself, so that near misses never leave it: a
+   prefix shingle's places in both sets bound what can be shared after it; and each class carries the parities of
+   its shingles in BITS buckets, of which at most |x| + |y| - 2o can differ.
+5. Candidates are verified on the whole sets, read again from the texts. Before all of them are made, some rounds
    verify one candidate for each component, along the shared shingles' leaders; then only pairs of classes of
    different components are made at all. So a group of many near copies never becomes all its pairs, and no
    link between components is missed.
@@ -31,8 +37,10 @@ FLUSH, LOCAL, FREQUENT = 1_500_000, 3, 200_000
 #: Prefix matches that may be asked for, what verifying costs against scanning an entry, and the partners that
 #: a shingle has at least when it is thought to have none.
 MATCHES, VERIFY, BACKGROUND = (1, 2, 3, 4, 6), 20.0, 0.01
+#: Buckets whose parities a class carries, in longs of 64.
+BITS = 512
 #: Rounds that verify one candidate for each component before all others are made.
-ROUNDS = 2
+ROUNDS = 3
 #: Tables of at most this many narrow rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -51,6 +59,7 @@ class _Words(dict):
 
 
 _words = _Words()
+common.cached(__name__, _words.clear)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -82,6 +91,7 @@ def _counting(size: int):
     """Texts to (kind, token, n): kind 0 words, 1 shingles (once a text), 2 the number of words."""
 
     def run(batches):
+        common.begin(__name__)
         held, n, total = ([], []), 0, 0
 
         def flush():
@@ -92,8 +102,8 @@ def _counting(size: int):
                 arrays.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words, windows = _hashed(text, size)
+            for text in batch.column(0):
+                words, windows = _hashed(text.as_py(), size)
                 held[0].append(words)
                 held[1].append(np.unique(windows))
                 n += len(words)
@@ -108,17 +118,22 @@ def _counting(size: int):
     return run
 
 
+def _steps(counts) -> np.ndarray:
+    """Logarithms of counts in whole quarters of a factor of 2; only the driver computes them."""
+    return np.ceil(4 * np.log2(np.maximum(np.asarray(counts, dtype=np.float64), 1.0))).astype(np.int64)
+
+
 class _Known:
-    """Counts of some hashes; 0 for all others."""
+    """Steps of the counts of some hashes; 0 for all others."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         order = np.argsort(tokens, kind="stable")
-        self.tokens, self.counts = tokens[order], counts[order].astype(np.float64)
+        self.tokens, self.counts = tokens[order], _steps(counts[order]).astype(np.int32)
         self.seen = np.zeros(1 << 20, dtype=bool)
         self.seen[(self.tokens & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h))
+        out = np.zeros(len(h), dtype=np.int64)
         maybe = np.flatnonzero(self.seen[(h & np.uint64(0xFFFFF)).astype(np.int64)])
         if len(maybe):
             at = np.minimum(np.searchsorted(self.tokens, h[maybe]), len(self.tokens) - 1)
@@ -128,21 +143,25 @@ class _Known:
 
 
 class Order:
-    """The common order of shingles: by frequency, known or likely, in steps of a factor of 2; then by hash."""
+    """The common order of shingles: by frequency, known or likely, in steps of a quarter of a factor of 2; then by hash."""
+
+    #: Steps below which all shingles are equally seldom, and above which frequencies aren't told apart.
+    LEAST, MOST = -80, 160
 
     def __init__(self, shingles: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], total: int):
-        self.shingles, self.words, self.total = _Known(*shingles), _Known(*words), max(1, total)
+        self.shingles, self.words, self.total = _Known(*shingles), _Known(*words), int(_steps([max(1, total)])[0])
+        self.frequency = 2.0 ** (np.arange(self.LEAST, self.MOST + 1) / 4)
 
     def sort(self, words: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(distinct shingles in order, their frequencies)."""
         h, first = np.unique(windows, return_index=True)
-        p = np.log(np.maximum(self.words(words), 1.0) / self.total)
+        p = self.words(words) - self.total
         k = len(words) - len(windows) + 1  # words of a shingle
-        likely = np.sum([p[j : len(p) - k + 1 + j] for j in range(k)], axis=0)[first] + np.log(self.total)
-        frequency = np.maximum(self.shingles(h), np.exp(np.minimum(likely, 40.0)))
-        step = np.ceil(np.log2(np.maximum(frequency, 2.0**-20)))
+        likely = np.sum([p[j : len(p) - k + 1 + j] for j in range(k)], axis=0)[first] + self.total
+        known = self.shingles(h)
+        step = np.clip(np.where(known > 0, np.maximum(known, likely), likely), self.LEAST, self.MOST)
         order = np.argsort(step, kind="stable")  # h is sorted by hash already
-        return h[order], frequency[order]
+        return h[order], self.frequency[step[order] - self.LEAST]
 
 
 def required(n: int, part: int, whole: int) -> int:
@@ -150,8 +169,13 @@ def required(n: int, part: int, whole: int) -> int:
     return -(-part * n // whole)
 
 
-def prefix(h: np.ndarray, frequency: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, int]:
-    """(prefix, matches to ask for) of a set in the common order."""
+def required_above(n: int, part: int, whole: int) -> int:
+    """The same with one that is as large at least."""
+    return -(-2 * part * n // (part + whole))
+
+
+def prefix(h: np.ndarray, frequency: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, int, int]:
+    """(long prefix, length of the short one, matches to ask for) of a set in the common order."""
     n, need = len(h), required(len(h), part, whole)
     best = None
     for ell in MATCHES:
@@ -161,29 +185,46 @@ def prefix(h: np.ndarray, frequency: np.ndarray, part: int, whole: int) -> tuple
         cost = float((frequency[:end] + BACKGROUND).sum()) * (1 + VERIFY / (ell * ell))
         if best is None or cost < best[0]:
             best = (cost, end, ell)
-    return h[: best[1]], best[2]
+    return h[: best[1]], n - required_above(n, part, whole) + best[2], best[2]
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """BITS parities of the numbers of shingles in buckets, in longs."""
+    odd = (np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+_LONGS = range(BITS // 64)
+_DESCRIBED = f"doc_id long, text_key string, n long, sig binary, prefix array<long>, short int, ell int, bits struct<{', '.join(f'b{k}: bigint' for k in _LONGS)}>"
 
 
 def _describing(size: int, part: int, whole: int, order):
     def run(batches):
         import xxhash
 
+        common.begin(__name__)
         for batch in batches:
-            sizes, sigs, prefixes, ells = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                words, windows = _hashed(text, size)
+            sizes, sigs, prefixes, shorts, ells = [], [], [], [], []
+            bits = np.zeros((batch.num_rows, len(_LONGS)), dtype=np.int64)
+            for k, text in enumerate(batch.column(2)):
+                words, windows = _hashed(text.as_py(), size)
                 if len(windows):
                     h, frequency = order.value.sort(words, windows)
-                    p, ell = prefix(h, frequency, part, whole)
+                    p, short, ell = prefix(h, frequency, part, whole)
+                    bits[k] = parities(h)
                 else:
-                    h, p, ell = windows, windows, 0
+                    h, p, short, ell = windows, windows, 0, 0
                 sizes.append(len(h))
                 sigs.append(xxhash.xxh3_128_digest(np.sort(h).tobytes()))
                 prefixes.append(p.view(np.int64))
+                shorts.append(short)
                 ells.append(ell)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(ells, pa.int32())],
-                ["doc_id", "text_key", "n", "sig", "prefix", "ell"],
+                [
+                    batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(shorts, pa.int32()), pa.array(ells, pa.int32()),
+                    pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(bits[:, k])) for k in _LONGS], [f"b{k}" for k in _LONGS]),
+                ],
+                ["doc_id", "text_key", "n", "sig", "prefix", "short", "ell", "bits"],
             )
 
     return run
@@ -191,14 +232,16 @@ def _describing(size: int, part: int, whole: int, order):
 
 def _sets(size: int):
     def run(batches):
+        common.begin(__name__)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], ["node", "set"])
 
     return run
 
 
 def _verifying(part: int, whole: int):
     def run(batches):
+        common.begin(__name__)
         for batch in batches:
             keep, left, right = [], batch.column(2), batch.column(3)
             for k in range(batch.num_rows):  # views of the batch, not copies
@@ -226,10 +269,24 @@ class Join:
         self.spark = docs.sparkSession
 
     def run(self) -> tuple[DataFrame, DataFrame]:
-        """(rows: doc_id, text_key, n, sig; classes: node, sig, rid, src_key, n, comp)."""
+        """(rows: doc_id, text_key, n, sig; classes: sig, rid, src_key, n, comp)."""
+        rows = self._rows()
+        classes = self._classes(rows)
+        return rows.select("doc_id", "text_key", "n", "sig"), self._labelled(classes, self._entries(classes))
+
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """(links: a, b, nodes of two classes; members: doc_id, text_key, node): every link between different sets.
+
+        A link is there once; rows without words are members of none.
+        """
         rows = self._rows()
         classes = self._classes(rows)
-        return rows.drop("prefix", "ell"), self._labelled(classes)
+        entries = self._entries(classes)
+        alone = common.written(entries.select("node", F.col("node").alias("comp")).distinct(), "labels")
+        pairs = common.written(self._all_pairs(entries, alone), "pairs")
+        found = self._verified(pairs, classes)
+        members = rows.where("n > 0").join(classes.select("sig", "node"), "sig").select("doc_id", "text_key", "node")
+        return self.spark.createDataFrame([], "a long, b long") if found is None else found, members
 
     def _rows(self) -> DataFrame:
         counted = self.plain.select("text").mapInArrow(_counting(self.size), "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
@@ -241,73 +298,100 @@ class Join:
 
         total = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
         shared = self.spark.sparkContext.broadcast(Order(most(1), most(0), total))
-        return common.written(
-            self.plain.mapInArrow(_describing(self.size, self.part, self.whole, shared), "doc_id long, text_key string, n long, sig binary, prefix array<long>, ell int"), "shingle-rows"
-        )
+        common.discard(counted)
+        return common.written(self.plain.mapInArrow(_describing(self.size, self.part, self.whole, shared), _DESCRIBED), "shingle-rows")
 
     def _classes(self, rows: DataFrame) -> DataFrame:
         first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key"))
-        grouped = rows.where("n > 0").groupBy("sig").agg(first.alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ell").alias("ell"))
+        grouped = rows.where("n > 0").groupBy("sig").agg(first.alias("f"), F.first(F.struct("n", "prefix", "short", "ell", "bits")).alias("d"))
         return common.written(
-            grouped.select(F.monotonically_increasing_id().alias("node"), "sig", F.col("f.doc_id").alias("rid"), F.col("f.text_key").alias("src_key"), "n", "prefix", "ell"), "shingle-classes"
+            grouped.select(F.monotonically_increasing_id().alias("node"), "sig", F.col("f.doc_id").alias("rid"), F.col("f.text_key").alias("src_key"), "d.n", "d.prefix", "d.short", "d.ell", "d.bits"), "shingle-classes"
         )
 
-    def _labelled(self, classes: DataFrame) -> DataFrame:
-        entries = classes.select("node", "n", "ell", F.explode("prefix").alias("token"))
-        info = common.written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "shared-shingles")
-        entries = common.written(entries.join(small(info), "token"), "shared-entries")
+    def _entries(self, classes: DataFrame) -> DataFrame:
+        """(token, node, n, ell, at, short, s, bits) of prefix shingles that two classes may meet at, one of them in its short prefix; s: such entries of the class."""
+        entries = classes.select("node", "n", "ell", "short", F.posexplode("prefix").alias("at", "token")).withColumn("short", F.col("at") < F.col("short"))
+        met = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("short")).where("c > 1 and short").select("token")
+        met = common.written(met, "shared-shingles")
+        entries = common.written(entries.join(small(met), "token"), "shared-entries")
         # A class most of whose prefix is shared is near the middle of its group: it leads.
-        central = common.written(entries.groupBy("node").agg(F.count(F.lit(1)).alias("s")), "shared-counts")
-        entries = common.written(entries.join(small(central), "node"), "central-entries")
-        nodes = entries.select("node", F.col("node").alias("comp")).distinct()
-        labels = common.written(nodes, "labels")
+        central = entries.groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+        central = common.written(classes.select("node", "bits").join(central, "node"), "shared-counts")
+        out = common.written(entries.join(small(central), "node"), "central-entries")
+        common.discard(met, entries, central)
+        return out
+
+    def _labelled(self, classes: DataFrame, entries: DataFrame) -> DataFrame:
+        labels = common.written(entries.select("node", F.col("node").alias("comp")).distinct(), "labels")
         tried = None
-        for _ in range(ROUNDS):
-            pairs = self._leader_pairs(entries, labels)
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = common.written(pairs, "leader-pairs")
+        for turn in range(ROUNDS):
+            pairs = common.written(self._leader_pairs(entries, labels, tried, turn), "leader-pairs")
             links = self._verified(pairs, classes)
-            tried = pairs if tried is None else common.written(tried.union(pairs), "tried-pairs")
-            if links is None or not links.count():
+            both = pairs if tried is None else common.written(tried.union(pairs), "tried-pairs")
+            if tried is not None:
+                common.discard(tried, pairs)
+            tried = both
+            if links is None or links.isEmpty():
                 break
             labels = self._merged(labels, links)
         pairs = self._all_pairs(entries, labels)
-        pairs = common.written(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
+        pairs = common.written(pairs.join(small(tried), ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
+        common.discard(tried, entries)
         links = self._verified(pairs, classes)
-        if links is not None and links.count():
+        common.discard(pairs)
+        if links is not None and not links.isEmpty():
             labels = self._merged(labels, links)
         linked = labels.join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("comp"), "comp", "left_semi")
         linked = common.written(linked.select("node", "comp"), "linked")
-        return classes.drop("prefix", "ell").join(small(linked), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        out = classes.select("node", "sig", "rid", "src_key", "n").join(small(linked), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        out = common.written(out.drop("node"), "labelled-classes")
+        common.discard(linked, labels, classes)
+        return out
+
+    def _may_link(self, x: str, y: str):
+        """Whether the entries ``x`` and ``y`` (structs; x the smaller set) of a shared shingle allow that their sets link."""
+        n = F.col(f"{x}.n") + F.col(f"{y}.n")
+        matches = F.least(f"{x}.ell", f"{y}.ell", F.col(f"{x}.at") + 1, F.col(f"{y}.at") + 1)
+        most = matches - 1 + F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+        differ = sum((F.bit_count(F.col(f"{x}.bits.b{k}").bitwiseXOR(F.col(f"{y}.bits.b{k}"))) for k in _LONGS[1:]), F.bit_count(F.col(f"{x}.bits.b0").bitwiseXOR(F.col(f"{y}.bits.b0"))))
+        both, part = F.lit(self.whole + self.part), F.lit(self.part)
+        size = F.lit(self.whole) * F.col(f"{x}.n") >= part * F.col(f"{y}.n")
+        return F.col(f"{x}.short") & size & (both * most >= part * n) & (both * (n - differ) >= 2 * part * n)
+
+    def _before(self, x: str, y: str):
+        return (F.col(f"{x}.n") < F.col(f"{y}.n")) | ((F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.node") < F.col(f"{y}.node")))
 
-    def _fits(self, small_n, large_n):
-        return F.lit(self.whole) * small_n >= F.lit(self.part) * large_n
+    def _leader_pairs(self, entries: DataFrame, labels: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
+        """For each component the pair with the leader that it shares most prefix shingles with: a < b by (n, node).
 
-    def _leader_pairs(self, entries: DataFrame, labels: DataFrame) -> DataFrame:
-        """For each component the pair with the leader that it shares most prefix shingles with: a < b by (n, node)."""
+        The first turn's leaders are the middles of their groups; later ones are drawn by hash, each turn others.
+        """
         e = entries.join(small(labels), "node")
-        first = F.min(F.struct((-F.col("s")).alias("s"), "n", "node", "comp"))
-        lead = e.groupBy("token").agg(first.alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "lead")
+        rank = -F.col("s") if not turn else F.xxhash64("node", F.lit(turn))
+        first = F.min(F.struct(rank.alias("rank"), "node", "n", "ell", "at", "short", "bits", "comp"))
+        lead = e.groupBy("token").agg(first.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "l")
         lead = common.written(lead, "leaders")
-        fits = self._fits(F.least("n", F.col("lead.n")), F.greatest("n", F.col("lead.n")))
-        met = e.join(small(lead), "token").where((F.col("comp") != F.col("lead.comp")) & fits)
-        before = (F.col("lead.n") < F.col("n")) | ((F.col("lead.n") == F.col("n")) & (F.col("lead.node") < F.col("node")))
-        a, b = F.when(before, F.col("lead.node")).otherwise(F.col("node")), F.when(before, F.col("node")).otherwise(F.col("lead.node"))
-        counted = met.groupBy("comp", a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        e = e.select("token", F.struct("node", "n", "ell", "at", "short", "bits", "comp").alias("e"))
+        able = F.when(self._before("l", "e"), self._may_link("l", "e")).otherwise(self._may_link("e", "l"))
+        met = e.join(small(lead), (e["token"] == lead["token"]) & (F.col("e.comp") != F.col("l.comp")) & able)
+        a, b = (F.when(self._before("l", "e"), F.col(x)).otherwise(F.col(y)) for x, y in (("l.node", "e.node"), ("e.node", "l.node")))
+        counted = met.select(F.col("e.comp").alias("comp"), a.alias("a"), b.alias("b")).groupBy("comp", "a", "b").agg(F.count(F.lit(1)).alias("c"))
+        if tried is not None:
+            counted = counted.join(small(tried), ["a", "b"], "left_anti")
         best = counted.groupBy("comp").agg(F.max(F.struct("c", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x"))
         return best.select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b")).distinct()
 
     def _all_pairs(self, entries: DataFrame, labels: DataFrame) -> DataFrame:
-        """All pairs of classes of different components with enough prefix shingles in common: a < b by (n, node)."""
-        e = entries.join(small(labels), "node")
-        open_tokens = common.written(e.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "open-shingles")
+        """All pairs of classes of different components that share enough prefix shingles and that the bounds allow: a < b by (n, node)."""
+        e = entries.drop("s").join(small(labels), "node")
+        open_tokens = common.written(e.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("short")).where("lo < hi and short").select("token"), "open-shingles")
         e = common.written(e.join(small(open_tokens), "token", "left_semi"), "open-entries")
-        x = e.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("ell").alias("al"), F.col("comp").alias("ac"))
-        y = e.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("ell").alias("bl"), F.col("comp").alias("bc"))
-        before = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
-        met = x.join(y, "token").where(before & (F.col("ac") != F.col("bc")) & self._fits(F.col("an"), F.col("bn")))
-        return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first(F.least("al", "bl")).alias("ell")).where("c >= ell").select("a", "b")
+        common.discard(open_tokens)
+        entry = F.struct("node", "n", "ell", "at", "short", "bits", "comp")
+        x, y = e.where("short").select("token", entry.alias("x")), e.select("token", entry.alias("y"))
+        met = x.join(y, (x["token"] == y["token"]) & (F.col("x.comp") != F.col("y.comp")) & self._before("x", "y") & self._may_link("x", "y"))
+        narrow = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.ell", "y.ell").alias("ell"))
+        return narrow.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("ell").alias("ell")).where("c >= ell").select("a", "b")
 
     def _verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame | None:
         """The written ``pairs`` (a, b) that link, by whole sets; None without pairs."""
@@ -319,14 +403,18 @@ class Join:
         # A class's source may stand in several rows; their sets are the same.
         sets = common.written(texts.mapInArrow(_sets(self.size), "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets")
         joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-        return common.written(joined.select("a", "b", "sa", "sb").mapInArrow(_verifying(self.part, self.whole), "a long, b long"), "links")
+        out = common.written(joined.select("a", "b", "sa", "sb").mapInArrow(_verifying(self.part, self.whole), "a long, b long"), "links")
+        common.discard(wanted, sets)
+        return out
 
     def _merged(self, labels: DataFrame, links: DataFrame) -> DataFrame:
         """``labels`` after ``links``: components are contracted to their labels, so only those are joined."""
         own = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
         up = components(own.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         moved = common.written(up.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "moved")
-        return common.written(labels.join(small(moved), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "labels")
+        out = common.written(labels.join(small(moved), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "labels")
+        common.discard(labels, moved, links)
+        return out
 
 
 def groups(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
@@ -338,7 +426,6 @@ def groups(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) ->
     have the same values; an empty table gives an empty result; other columns are not read.
     """
     rows, classes = Join(docs, size, part, whole).run()
-    classes = common.written(classes, "labelled-classes")
     # As many rows as there are components with a class besides its first.
     best = classes.groupBy("comp").agg(F.min(F.struct(F.col("rid").isNull().alias("unknown"), "rid", "src_key")).alias("first"))
     by_class = classes.select("sig", "comp").join(best, "comp").select("sig", F.col("first.rid").alias("component"), F.col("first.src_key").alias("src_key"))
