@@ -36,13 +36,13 @@ from .graph import components
 FLUSH, LOCAL, FREQUENT = 1_500_000, 3, 200_000
 #: Prefix matches that may be asked for, what verifying costs against scanning an entry, and the partners that
 #: a shingle has at least when it is thought to have none.
-MATCHES, VERIFY, BACKGROUND = (1, 2, 3, 4, 6), 20.0, 0.01
+MATCHES, VERIFY, BACKGROUND = (1, 2, 3, 4, 6), 1.0, 0.01
 #: Buckets whose parities a class carries, in longs of 64.
 BITS = 512
 #: Rounds that verify one candidate for each component before all others are made.
-ROUNDS = 3
-#: Tables of at most this many narrow rows are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+ROUNDS = 1
+#: Tables of at most this many narrow rows are broadcast, and a fifth of it of rows with parities; larger ones are shuffled.
+BROADCAST_ROWS, WIDE = 500_000, 5
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,7 +52,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 200_000:
+        if len(self) >= 400_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -124,21 +124,29 @@ def _steps(counts) -> np.ndarray:
 
 
 class _Known:
-    """Steps of the counts of some hashes; 0 for all others."""
+    """Steps of the counts of some hashes; 0 for all others. A table by their lowest bits, a few to a place."""
+
+    MASK = np.uint64((1 << 20) - 1)
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        order = np.argsort(tokens, kind="stable")
+        place = (tokens & self.MASK).astype(np.int64)
+        order = np.argsort(place, kind="stable")
         self.tokens, self.counts = tokens[order], _steps(counts[order]).astype(np.int32)
-        self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[(self.tokens & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        held = np.bincount(place, minlength=int(self.MASK) + 1)
+        self.first, self.held = (np.cumsum(held) - held).astype(np.int32), np.minimum(held, 1 << 15).astype(np.int16)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), dtype=np.int64)
-        maybe = np.flatnonzero(self.seen[(h & np.uint64(0xFFFFF)).astype(np.int64)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.tokens, h[maybe]), len(self.tokens) - 1)
-            hit = self.tokens[at] == h[maybe]
-            out[maybe[hit]] = self.counts[at[hit]]
+        place = (h & self.MASK).astype(np.int64)
+        held = self.held[place]
+        open_ = np.flatnonzero(held)
+        at, left, k = self.first[place[open_]], held[open_], 0
+        while len(open_):
+            hit = self.tokens[at + k] == h[open_]
+            out[open_[hit]] = self.counts[at[hit] + k]
+            k += 1
+            more = ~hit & (left > k)
+            open_, at, left = open_[more], at[more], left[more]
         return out
 
 
@@ -254,9 +262,9 @@ def _verifying(part: int, whole: int):
     return run
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is small; ``df`` is a written table."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, width: int = 1) -> DataFrame:
+    """``df`` marked for broadcast if it is small; ``df`` is a written table whose rows count ``width`` times."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_ROWS else df
 
 
 class Join:
@@ -309,22 +317,21 @@ class Join:
         )
 
     def _entries(self, classes: DataFrame) -> DataFrame:
-        """(token, node, n, ell, at, short, s, bits) of prefix shingles that two classes may meet at, one of them in its short prefix; s: such entries of the class."""
+        """(token, node, n, ell, at, short, bits) of prefix shingles that two classes may meet at, one of them in its short prefix."""
         entries = classes.select("node", "n", "ell", "short", F.posexplode("prefix").alias("at", "token")).withColumn("short", F.col("at") < F.col("short"))
         met = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("short")).where("c > 1 and short").select("token")
         met = common.written(met, "shared-shingles")
         entries = common.written(entries.join(small(met), "token"), "shared-entries")
-        # A class most of whose prefix is shared is near the middle of its group: it leads.
-        central = entries.groupBy("node").agg(F.count(F.lit(1)).alias("s"))
-        central = common.written(classes.select("node", "bits").join(central, "node"), "shared-counts")
-        out = common.written(entries.join(small(central), "node"), "central-entries")
-        common.discard(met, entries, central)
+        bits = common.written(classes.select("node", "bits").join(entries.select("node").distinct(), "node", "left_semi"), "shared-parities")
+        out = common.written(entries.join(small(bits, WIDE), "node"), "open-entries")
+        common.discard(met, entries, bits)
         return out
 
     def _labelled(self, classes: DataFrame, entries: DataFrame) -> DataFrame:
         labels = common.written(entries.select("node", F.col("node").alias("comp")).distinct(), "labels")
         tried = None
         for turn in range(ROUNDS):
+            # One turn joins nearly all classes to the middles of their groups; more of them find little.
             pairs = common.written(self._leader_pairs(entries, labels, tried, turn), "leader-pairs")
             links = self._verified(pairs, classes)
             both = pairs if tried is None else common.written(tried.union(pairs), "tried-pairs")
@@ -362,28 +369,29 @@ class Join:
         return (F.col(f"{x}.n") < F.col(f"{y}.n")) | ((F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.node") < F.col(f"{y}.node")))
 
     def _leader_pairs(self, entries: DataFrame, labels: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
-        """For each component the pair with the leader that it shares most prefix shingles with: a < b by (n, node).
+        """For each class the pair with the leader of another component that it shares most prefix shingles with: a < b by (n, node).
 
-        The first turn's leaders are the middles of their groups; later ones are drawn by hash, each turn others.
+        A class whose shared shingles come early in its order has few of its own, and is near the middle of its group: it
+        leads in every second turn. In the others leaders are drawn by hash, each time others.
         """
         e = entries.join(small(labels), "node")
-        rank = -F.col("s") if not turn else F.xxhash64("node", F.lit(turn))
+        rank = F.xxhash64("node", F.lit(turn)) if turn % 2 else F.floor(F.col("at") * 1000 / F.col("n"))
         first = F.min(F.struct(rank.alias("rank"), "node", "n", "ell", "at", "short", "bits", "comp"))
         lead = e.groupBy("token").agg(first.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "l")
         lead = common.written(lead, "leaders")
         e = e.select("token", F.struct("node", "n", "ell", "at", "short", "bits", "comp").alias("e"))
         able = F.when(self._before("l", "e"), self._may_link("l", "e")).otherwise(self._may_link("e", "l"))
-        met = e.join(small(lead), (e["token"] == lead["token"]) & (F.col("e.comp") != F.col("l.comp")) & able)
+        met = e.join(small(lead, WIDE), (e["token"] == lead["token"]) & (F.col("e.comp") != F.col("l.comp")) & able)
         a, b = (F.when(self._before("l", "e"), F.col(x)).otherwise(F.col(y)) for x, y in (("l.node", "e.node"), ("e.node", "l.node")))
-        counted = met.select(F.col("e.comp").alias("comp"), a.alias("a"), b.alias("b")).groupBy("comp", "a", "b").agg(F.count(F.lit(1)).alias("c"))
+        counted = met.select(F.col("e.node").alias("node"), a.alias("a"), b.alias("b")).groupBy("node", "a", "b").agg(F.count(F.lit(1)).alias("c"))
         if tried is not None:
             counted = counted.join(small(tried), ["a", "b"], "left_anti")
-        best = counted.groupBy("comp").agg(F.max(F.struct("c", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x"))
+        best = counted.groupBy("node").agg(F.max(F.struct("c", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x"))
         return best.select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b")).distinct()
 
     def _all_pairs(self, entries: DataFrame, labels: DataFrame) -> DataFrame:
         """All pairs of classes of different components that share enough prefix shingles and that the bounds allow: a < b by (n, node)."""
-        e = entries.drop("s").join(small(labels), "node")
+        e = entries.join(small(labels), "node")
         open_tokens = common.written(e.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("short")).where("lo < hi and short").select("token"), "open-shingles")
         e = common.written(e.join(small(open_tokens), "token", "left_semi"), "open-entries")
         common.discard(open_tokens)
