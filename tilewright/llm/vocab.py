@@ -9,6 +9,8 @@ from pathlib import Path
 
 import numpy as np
 
+from . import common
+
 #: Entries of one generation of a cache (there are two), and the longest string that is cached.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
 
@@ -94,16 +96,47 @@ class Chunks(dict):
         return b"".join(map(self.__getitem__, self.pieces(text))) if text else b""
 
 
+class Counts(Chunks):
+    """The number of ids of each piece of text, where ids themselves aren't needed: small numbers instead of bytes."""
+
+    def __missing__(self, piece: str) -> int:
+        got = self.old.get(piece)
+        if got is None:
+            got = len(self.encode(piece))
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES // 2:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+    def count(self, text: str | None) -> int:
+        """The number of ids of a whole text; null counts as empty."""
+        return sum(map(self.__getitem__, self.pieces(text))) if text else 0
+
+
 _made: dict[tuple, Chunks] = {}
+common.cached(__name__, _made.clear)
 
 
 def chunks(text: str, encode: Callable[[str], list[int]], dtype: str) -> Chunks:
     return Chunks(encode, dtype, splits_plainly(text), tuple(a["content"] for a in json.loads(text).get("added_tokens") or []))
 
 
+def library_counts(text: str) -> Counts:
+    """Ids of pieces counted by the library; one cache for each vocabulary in a Python worker."""
+    common.begin(__name__)
+    key = ("counts", text)
+    if key not in _made:
+        encode = tokenizer(text).encode
+        _made[key] = Counts(lambda s: encode(s, add_special_tokens=False).ids, "<u4", splits_plainly(text), tuple(a["content"] for a in json.loads(text).get("added_tokens") or []))
+    return _made[key]
+
+
 def library_chunks(text: str, dtype: str = "<u2") -> Chunks:
     """Pieces encoded by the library; one cache for each vocabulary in a Python worker."""
-    key = ("library", hash(text), dtype)
+    common.begin(__name__)
+    key = ("library", text, dtype)
     if key not in _made:
         encode = tokenizer(text).encode
         _made[key] = chunks(text, lambda s: encode(s, add_special_tokens=False).ids, dtype)
