@@ -208,15 +208,17 @@ class Codec:
         return self.flat[at].tobytes()[:-1]
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
+common.cached(__name__, _codecs.clear)
 
 
 def codec(text: str, usable: set[int] | None = None) -> Codec:
     """One codec for each vocabulary in a Python worker."""
-    key = hash(text)
-    if key not in _codecs:
-        _codecs[key] = Codec(text, usable)
-    return _codecs[key]
+    common.begin(__name__)
+    if text not in _codecs:
+        _codecs.clear()
+        _codecs[text] = Codec(text, usable)
+    return _codecs[text]
 
 
 def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
