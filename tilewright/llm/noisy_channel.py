@@ -18,6 +18,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -245,19 +246,36 @@ def half_of(doc_id) -> int:
     return zlib.crc32(b"half" + str(doc_id).encode()) & 1
 
 
+def squeezed(word: str) -> str:
+    """The word with each repeated letter once."""
+    return _REPEATED.sub(r"\1", word)
+
+
 class Scorer(dict):
-    """The weight of each token: the largest of its features' weights, 0 without any."""
+    """The weight of each token: the largest of its features' weights, 0 without any.
+
+    All readings of letters with signs behind them at most begin with the same letters, repetitions apart. So where
+    no weighted word or beginning begins like that, the weight is 0 without any decoding.
+    """
 
     def __init__(self, restorer: Restorer, weights: dict[str, float]):
         super().__init__()
         self.restorer, self.weights = restorer, weights
+        self.starts = {squeezed(f[1:])[:4] for f in weights}
+
+    def hopeless(self, token: str) -> bool:
+        word = token.lower().rstrip(_ENDS)
+        if not word.isalpha():
+            return False
+        s = squeezed(word)
+        return len(s) >= 4 and self.starts.isdisjoint((s[:4], s[:3], s[:2], s[:1]))
 
     def __missing__(self, token: str) -> float:
         get = self.weights.get
-        got = max((get(f, 0.0) for w in self.restorer.readings(token) for f in _features(w)), default=0.0)
+        got = 0.0 if self.hopeless(token) else max((get(f, 0.0) for w in self.restorer.readings(token) for f in _features(w)), default=0.0)
         got = got if got > 0 else 0.0
         if len(token) <= 48:
-            if len(self) >= 400_000:
+            if len(self) >= 300_000:
                 self.clear()
             self[token] = got
         return got
@@ -286,6 +304,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
 
 
 def _trigrams(batches):
+    common.begin(__name__)
     total = np.zeros(SYMBOLS**3, dtype=np.int64)
     for batch in batches:
         texts = [t for t in batch.column(0).to_pylist() if t]
@@ -303,19 +322,30 @@ def character_model(docs: DataFrame) -> CharacterModel:
     return CharacterModel(counts)
 
 
-_restorers: dict = {}
+#: In a Python worker: the restorer, and the scorer, of the model whose key was seen last.
+_restorers: dict[str, Restorer] = {}
+_scorers: dict[str, Scorer] = {}
+
+
+def _forget() -> None:
+    _restorers.clear()
+    _scorers.clear()
+
+
+common.cached(__name__, _forget)
 
 
 def _restorer(shared) -> Restorer:
-    """One for each model in a Python worker."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    """``shared``: a broadcast (key, model); keys are never used twice."""
+    key, model = shared.value
     if key not in _restorers:
         _restorers.clear()
-        _restorers[key] = Restorer(shared.value)
+        _restorers[key] = Restorer(model)
     return _restorers[key]
 
 
 def _keys(batches):
+    common.begin(__name__)
     for batch in batches:
         first = [int(s.view(np.int64).min()) if len(s) else 0 for s in (shingles(t, 3) for t in batch.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64())], ["doc_id", "toxic", "key"])
@@ -323,6 +353,7 @@ def _keys(batches):
 
 def _counting(shared):
     def run(batches):
+        common.begin(__name__)
         restorer = _restorer(shared)
         for batch in batches:
             counts: dict[str, list[int]] = {}
@@ -340,7 +371,8 @@ def _counting(shared):
 
 def _figuring(shared, weights):
     def run(batches):
-        scorer = Scorer(_restorer(shared), weights.value)
+        common.begin(__name__)
+        scorer = Scorer(_restorer(shared), weights.value[1])
         for batch in batches:
             rows = [(toxic, scorer.figures(text)) for doc_id, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if half_of(doc_id)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["toxic", "figures"])
@@ -348,17 +380,15 @@ def _figuring(shared, weights):
     return run
 
 
-_scorers: dict = {}
-
-
 def _scoring(shared, weights, model):
     mean, scale, b = model
 
     def run(batches):
-        key = (shared.id if hasattr(shared, "id") else id(shared))
+        common.begin(__name__)
+        key, known = weights.value
         if key not in _scorers:
             _scorers.clear()
-            _scorers[key] = Scorer(_restorer(shared), weights.value)
+            _scorers[key] = Scorer(_restorer(shared), known)
         scorer = _scorers[key]
         for batch in batches:
             x = np.array([scorer.figures(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(mean))
@@ -368,12 +398,17 @@ def _scoring(shared, weights, model):
     return run
 
 
+def _shared(spark, value):
+    """``value`` broadcast with a key of its own."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, value))
+
+
 class ToxicityModel:
     """Fitted parts: character model, weights of words and beginnings, logistic model."""
 
     def __init__(self, spark, characters: CharacterModel, weights: dict[str, float], model):
         self.characters, self.weights, self.model = characters, weights, model
-        self._shared = spark.sparkContext.broadcast(characters), spark.sparkContext.broadcast(weights)
+        self._shared = _shared(spark, characters), _shared(spark, weights)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, score) of every row of ``docs`` (doc_id, text); null and empty texts have a score like any text."""
@@ -384,12 +419,15 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """A model of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic); rows with a null id or label are left out.
 
-    Where no labels, or those of one class only, are given, all scores are the share of toxic rows.
+    An id with several labels counts as toxic if one of them says so. Where several rows of ``docs`` share a labelled id,
+    each is a text with that label; of texts that share their least shingle, near copies, one of each label counts.
+    Null and empty texts are texts without words. Where no labels, or those of one class only, are given, or
+    ``docs`` is empty, all scores are the share of toxic rows. Other columns of both tables are not read.
     """
     spark = docs.sparkSession
     characters = character_model(docs)
-    shared = spark.sparkContext.broadcast(characters)
-    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    shared = _shared(spark, characters)
+    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = common.written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "labelled-rows")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most TRAIN_ROWS rows of two numbers.
@@ -413,7 +451,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     ).where("w > 0")
     top = weighed.orderBy(F.desc("w"), "feature").limit(WEIGHTS).select("feature", "w").toArrow()
     weights = dict(zip(top["feature"].to_pylist(), top["w"].to_pylist(), strict=True))
-    rows = marked.mapInArrow(_figuring(shared, spark.sparkContext.broadcast(weights)), "toxic long, figures array<double>").toArrow()
+    rows = marked.mapInArrow(_figuring(shared, _shared(spark, weights)), "toxic long, figures array<double>").toArrow()
     x = np.array(rows["figures"].to_pylist()).reshape(-1, 5)
     # Sorted, so that the fit doesn't depend on the order of rows.
     target = rows["toxic"].to_numpy().astype(float)
