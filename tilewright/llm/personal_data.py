@@ -8,7 +8,9 @@ overlaps no accepted span is added.
 
 No table marks personal data, so the models are fitted on TRAIN_TEXTS texts made by
 ``synthetic``: planted spans in many formats between look-alikes (versions, prices, dates, order
-numbers, hashes). The number is a parameter; nothing is fitted on the corpus.
+numbers, hashes). The number is a parameter; nothing is fitted on the corpus. The generators look for parts of at most
+64 characters and rows of at most 19 groups of digits: that bounds added spans only, never the patterns'. All steps
+take time in proportion to a text, or to it times the logarithm of its spans.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import hashlib
 import ipaddress
 import random
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +60,7 @@ def _digits(s: str) -> str:
 
 def _holds(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p) <= 32 and int(p) <= 255 for p in s.split("."))
+        return all(len(v) < 3 or len(v) == 3 and v <= "255" for v in (p.lstrip("0") for p in s.split(".")))
     if kind == "card":
         return 16 <= len(d := _digits(s)) <= 19 and luhn(d)
     return kind == "email" or 8 <= len(_digits(s)) <= 15
@@ -74,10 +77,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         for kind in ("ip", "card", "phone"):
             if kind == "ip" and "." not in text or kind == "phone" and "+" not in text:
                 continue
-            out += [(kind, m.start(), m.end()) for m in BASE[kind].finditer(text, max(0, digit.start() - 1)) if _holds(kind, m[0])]
+            found = _addresses(text, digit.start()) if kind == "ip" else (m.span() for m in BASE[kind].finditer(text, max(0, digit.start() - 1)))
+            out += [(kind, a, b) for a, b in found if _holds(kind, text[a:b])]
     return out
 
 
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_PART = re.compile(r"[0-9]++")
+
+
+def _addresses(text: str, at: int):
+    """(start, end) of the ip pattern's matches from ``at`` on: in each longest row of dotted numbers, every four in turn.
+    The same matches as finditer's, in time linear in a run of digits."""
+    for row in _DOTTED.finditer(text, at):
+        if "." in row[0]:
+            parts = [m.span() for m in _PART.finditer(text, *row.span())]
+            for k in range(0, len(parts) - 3, 4):
+                yield parts[k][0], parts[k + 3][1]
+
+
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -301,7 +319,16 @@ def find(text: str | None, fitted: dict[str, tuple]) -> tuple[list[tuple[str, in
     if not text:
         return [], []
     base = base_spans(text)
-    rows = [c for c in dict.fromkeys(candidates(text)) if not any(c[1] < b and a < c[2] for _, a, b in base)]
+    starts, reach = [], []  # of the patterns' spans, by start: how far they reach so far
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        starts.append(a)
+        reach.append(max(b, reach[-1] if reach else 0))
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return not k or reach[k - 1] <= a
+
+    rows = [c for c in dict.fromkeys(candidates(text)) if free(c[1], c[2])]
     accepted = []
     for kind in KINDS:
         own = [c for c in rows if c[0] == kind]
@@ -311,9 +338,13 @@ def find(text: str | None, fitted: dict[str, tuple]) -> tuple[list[tuple[str, in
             probability = p[np.maximum(np.searchsorted(at, score, side="right") - 1, 0)]
             accepted += [(-q, -s, c[2] - c[1], c) for q, s, c in zip(probability.tolist(), score.tolist(), own, strict=True) if q >= threshold]
     added: list[tuple[str, int, int]] = []
+    begun, ended = [], []  # of the added spans, which don't overlap, by start
     for *_, c in sorted(accepted):
-        if not any(c[1] < b and a < c[2] for _, a, b in added):
+        k = bisect_left(begun, c[2])
+        if not k or ended[k - 1] <= c[1]:
             added.append(c)
+            begun.insert(k, c[1])
+            ended.insert(k, c[2])
     return base, sorted(added, key=lambda c: (KINDS.index(c[0]), c[1]))
 
 
@@ -323,10 +354,11 @@ def spelled(spans) -> str:
 
 def _reported(fitted):
     def run(batches):
+        common.begin(__name__)
         for batch in batches:
             counts, sums, spans = [], [], []
-            for text in batch.column(1).to_pylist():
-                base, added = find(text, fitted.value)
+            for text in batch.column(1):
+                base, added = find(text.as_py(), fitted.value)
                 counts.append([sum(s[0] == k for s in base) for k in KINDS])
                 sums.append(hashlib.sha256(spelled(base).encode()).hexdigest())
                 spans.append(spelled(base + added))
@@ -356,21 +388,28 @@ def redacted(text: str | None, fitted: dict[str, tuple]) -> str | None:
             merged[-1][2] = max(merged[-1][2], b)
         else:
             merged.append([kind, a, b])
-    for kind, a, b in reversed(merged):
-        text = f"{text[:a]}<{kind.upper()}>{text[b:]}"
-    return text
+    out, at = [], 0
+    for kind, a, b in merged:
+        out += [text[at:a], f"<{kind.upper()}>"]
+        at = b
+    return "".join([*out, text[at:]]) if out else text
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data replaced; n_chars, if it is there, is that of the new text. No row is dropped."""
+    """``docs`` with personal data replaced; n_chars, if it is there, is that of the new text. No row is dropped.
+
+    Null and empty texts, and the n_chars of null ones, stay as they are. Repeated rows are treated each for itself; other columns, of any
+    name, are returned unread; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(models())
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches):
+        common.begin(__name__)
         for batch in batches:
             columns = list(batch.columns)
-            texts = [redacted(t, shared.value) for t in columns[at].to_pylist()]
+            texts = [redacted(t.as_py(), shared.value) for t in columns[at]]
             columns[at] = pa.array(texts, pa.string())
             if "n_chars" in names:
                 k = names.index("n_chars")
