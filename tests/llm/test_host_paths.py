@@ -37,6 +37,24 @@ def test_comments_go_however_long_they_are():
     assert hp.extract(f'<body><p>posted by someone three days ago</p><div class="with-sidebar"><h1>T</h1>{story * 9}</div></body>', []).endswith(want)
 
 
+def test_head_without_an_end_tag_and_short_articles():
+    assert hp.extract("<html><head><title>x</title><body><article><p>the whole story</p></article></body></html>", []) == "the whole story"
+    assert hp.extract("<head><meta charset='utf-8'><div class='a'>one</div>", []) == "one"
+    assert hp.extract("<head><title>t</title>straight text", []) == "straight text"
+    said = "<p>a reader says much more than the story does</p>" * 30
+    assert hp.extract(f'<body><article><p>short</p></article><div class="comments">{said}</div></body>', []) == "short"
+    assert hp.extract(f'<body><div class="ad">{said}</div><div class="x"><p>ten chars.</p></div></body>', []) == "ten chars."
+
+
+def test_votes_and_scores_together():
+    story = "<p>many words of the article that this page is about</p>" * 10
+    page = f'<body><section class="b"><p>a tip</p></section><main class="a">{story}</main></body>'
+    want = " ".join(["many words of the article that this page is about"] * 10)
+    assert hp.extract(page, ["/body/section.b", "/body/main.a"], [60, 40]) == want
+    menu = f'<body><section class="b"><p>the story</p><p>of this one page</p></section><main class="a">{story}</main></body>'
+    assert hp.extract(menu, ["/body/section.b", "/body/main.a"], [600, 10]) == "the story of this one page"
+
+
 def test_votes():
     votes = hp.votes_of(PAGE % ("many words " * 20))
     assert votes[0] == ("/html/body/div.page/div.body.story-", 1.0) and votes[1][1] <= 0.75

@@ -6,9 +6,13 @@
    of the page's best score. Spark adds up the votes by host, without those for containers around a page's
    best one. A path stays if it is the best of at least SHARE of the host's pages, or of the WINNERS paths that are
    the best of most pages.
-3. Each page is extracted again from the elements at the first of its host's paths that it has, or at a
+3. Each page is extracted again from the elements at that of its host's paths whose votes times its score on this page
+   are the most, so that neither a seldom long menu nor a short tip at a frequent path takes the article's place, or at a
    kept path below that which scores better on this page; a page that has none of them uses its own best
    container, or else the whole body.
+
+Classes and ids mark parts that are no content, however long they are. Only a marked part that holds the page's h1 or main
+element, or one outside of which no text stands, is taken for a wrapper and stays.
 """
 
 from __future__ import annotations
@@ -25,11 +29,8 @@ from . import common
 #: Votes that a page casts, paths that a host keeps whatever their share, and the share of its pages from which it keeps others.
 VOTES, WINNERS = 3, 3
 SHARE = 0.01
-#: A class or id below marks a part as no content if it holds at most this share of the page's text, or if a block outside of
-#: it has at least REST characters of text. Only a wrapper with the page's title or main element in it needs the share.
-PART, REST = 0.5, 20
-#: Tables of at most this many paths are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+#: Tables of at most this many paths are broadcast; larger ones are shuffled, each host in SALTS parts.
+BROADCAST_ROWS, SALTS = 200_000, 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
@@ -37,11 +38,11 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "svg", "math", "select", "object", "head")}
-_BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul button".split())
+_RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "svg", "math", "select", "object")}
+_BLOCKS = frozenset("head address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul button".split())
 _CONTAINERS = frozenset("article body center dd details div fieldset figure main section td blockquote".split())
 #: Elements that never are content.
-_NEVER = frozenset("nav header footer aside form button menu search dialog".split())
+_NEVER = frozenset("head nav header footer aside form button menu search dialog".split())
 #: What a start tag closes when it is the innermost of these.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 #: Words in classes and ids of parts that are no content.
@@ -50,6 +51,8 @@ _MARKS = frozenset(
     "share sharing social related recommended recommendations comment comments respond reply replies disqus discussion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar pagination pager "
     "widget skip login toolbar tags copyright legal disclaimer".split()
 )
+#: Words that make a class say what its part has beside it, as in content-with-sidebar.
+_BESIDE = frozenset("with without has no layout".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _WORDS = re.compile(r"[a-z]+")
 
@@ -68,6 +71,8 @@ class Page:
             m = _TOKEN.search(html, at)
             if m is None or m.start() > at:
                 piece = html[at : m.start() if m else size]
+                if self.tag[stack[-1]] == "head" and not piece.isspace():
+                    stack.pop()  # its end tag may be left out
                 self.events.append((stack[-1], piece, linked))
             if m is None:
                 break
@@ -83,7 +88,7 @@ class Page:
                     if not (m["attributes"] or "").endswith("/"):
                         end = _RAW[name].search(html, at)
                         at = end.end() if end else size
-                    if name in ("textarea", "select", "head", "title"):
+                    if name in ("textarea", "select", "title"):
                         self.events.append((stack[-1], " ", linked))
                 elif name in _BLOCKS:
                     self._open(name, m["attributes"] or "", stack, marked)
@@ -100,7 +105,7 @@ class Page:
     def _open(self, name: str, attributes: str, stack: list[int], marked: list[int]) -> None:
         if name in ("html", "body") and any(self.tag[k] == name for k in stack):
             return
-        if self.tag[stack[-1]] == "p":
+        if self.tag[stack[-1]] in ("p", "head"):
             stack.pop()
         closes = _CLOSES.get(name)
         if closes:
@@ -111,9 +116,9 @@ class Page:
         if attributes.strip():
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
             classes = found.get("class", "")
-            words = set(_WORDS.findall((classes + " " + found.get("id", "")).lower()))
+            names = [set(_WORDS.findall(x)) for x in (classes + " " + found.get("id", "")).lower().split()]
             drop = drop or "hidden" in found or found.get("aria-hidden") == "true"
-            if words & _MARKS or found.get("role", "").lower() in _ROLES:
+            if any(words & _MARKS and not words & _BESIDE for words in names) or found.get("role", "").lower() in _ROLES:
                 marked.append(len(self.tag))
             classes = ".".join(sorted({re.sub(r"\d+", "", c) for c in classes.lower().split()}))
         self.path.append(f"{self.path[up]}/{name}" + (f".{classes}" if classes else ""))
@@ -145,7 +150,7 @@ class Page:
         self.total = total
         outside = self._outside(marked)
         for k in marked:
-            if self.tag[k] not in ("body", "html", "main") and (total[k] <= PART * total[0] or outside[k]):
+            if self.tag[k] not in ("body", "html", "main") and outside[k]:
                 self.dropped[k] = True
         for k in range(1, len(total)):
             self.dropped[k] = self.dropped[k] or self.dropped[self.parent[k]]
@@ -159,7 +164,7 @@ class Page:
         for k in range(len(self.tag)):
             near[k] = k if k in is_marked else near[self.parent[k]] if k else 0
             heading = self.tag[k] in ("h1", "h2", "h3", "h4", "h5", "h6")
-            if self.text[k] >= REST and not heading and not self.dropped[k]:
+            if self.text[k] and not heading and not self.dropped[k]:
                 rest[near[k]] = True
             if self.tag[k] in ("h1", "main") and not self.dropped[k]:
                 wraps.add(near[k])
@@ -201,7 +206,7 @@ class Page:
         joined = "".join(piece for k, piece, _ in self.events if wanted[k] and not self.dropped[k])
         return " ".join(entities.unescape(joined).split())
 
-    def extract(self, paths: list[str]) -> str:
+    def extract(self, paths: list[str], votes: list[int] | None = None) -> str:
         at: dict[str, list[int]] = {}
         for k, path in enumerate(self.path):
             if not self.dropped[k]:
@@ -211,6 +216,9 @@ class Page:
         score: dict[str, float] = {}
         for s, k in best:
             score.setdefault(self.path[k], s)
+        if votes:
+            weight = dict(zip(paths, votes, strict=True))
+            found.sort(key=lambda p: -weight[p] * score.get(p, 0.0))
         for path in found:
             # A container around the one at a kept path must not take its place.
             below = [p for p in found if p.startswith(path + "/") and score.get(p, 0.0) > score.get(path, 0.0)]
@@ -230,8 +238,9 @@ def votes_of(html: str | None) -> list[tuple[str, float]]:
     return [(page.path[k], s / best[0][0]) for s, k in best]
 
 
-def extract(html: str | None, paths: list[str] | None) -> str:
-    return Page(html).extract(paths or []) if html else ""
+def extract(html: str | None, paths: list[str] | None, votes: list[int] | None = None) -> str:
+    """The main text by the host's paths: those of most votes times score on this page first, or without votes in their order."""
+    return Page(html).extract(paths or [], votes) if html else ""
 
 
 def host_of(url: Column) -> Column:
@@ -240,6 +249,7 @@ def host_of(url: Column) -> Column:
 
 
 def _voting(batches):
+    common.begin(__name__)
     for batch in batches:
         hosts, paths, shares, firsts = [], [], [], []
         for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -255,21 +265,23 @@ def _voting(batches):
 
 
 def _extracting(batches):
+    common.begin(__name__)
     for batch in batches:
-        page_id, url, html, paths = batch.columns
-        texts = [extract(h, p) for h, p in zip(html.to_pylist(), paths.to_pylist(), strict=True)]
+        page_id, url, html, paths, votes = batch.columns
+        texts = [extract(h.as_py(), p, v) for h, p, v in zip(html, paths.to_pylist(), votes.to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([page_id, url, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the paths that stay, those with most votes first; equal votes by path."""
+    """(host, paths, path_votes): the paths that stay, those with most votes first; equal votes by path."""
     cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_voting, "host string, path string, share double, first long")
     # Shares are added as whole millionths, so that their order doesn't matter.
     votes = cast.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1e6).cast("long")).alias("votes"), F.sum("first").alias("firsts")).where("firsts > 0")
     most = F.row_number().over(Window.partitionBy("host").orderBy(F.col("firsts").desc(), F.col("votes").desc(), "path"))
     first = F.row_number().over(Window.partitionBy("host").orderBy(F.col("votes").desc(), "path"))
     best = votes.withColumns({"place": first, "most": most, "n": F.sum("firsts").over(Window.partitionBy("host"))}).where((F.col("most") <= WINNERS) | (F.col("firsts") >= F.lit(SHARE) * F.col("n")))
-    return best.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
+    kept = best.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path", "votes"))).alias("kept"))
+    return kept.select("host", F.col("kept.path").alias("paths"), F.col("kept.votes").alias("path_votes"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -279,10 +291,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     extracted each; an empty table gives an empty result; other columns are not read.
     """
     winners = common.written(winning_paths(pages), "host-paths")
-    winners = F.broadcast(winners) if (winners.agg(F.sum(F.size("paths"))).first()[0] or 0) <= BROADCAST_ROWS else winners
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    joined = plain.withColumn("host", host_of(F.col("url"))).join(winners, "host", "left")
-    return joined.select("page_id", "url", "html", "paths").mapInArrow(_extracting, "page_id long, url string, text string, n_chars long")
+    plain = plain.withColumn("host", host_of(F.col("url")))
+    if (winners.agg(F.sum(F.size("paths"))).first()[0] or 0) <= BROADCAST_ROWS:
+        joined = plain.join(F.broadcast(winners), "host", "left")
+    else:
+        plain = plain.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = plain.join(winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "paths", "path_votes").mapInArrow(_extracting, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
