@@ -5,11 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.config import EdgeConfig, Preset, request_config, suggested_settings
+from tilewright.config import EdgeConfig, ExecutorKind, Preset, detected_resources, request_config, settings_for, suggested_settings
 from tilewright.functions import arrays
 from tilewright.operators import backends, canny, circuit, metrics, post, resample, stencils, strips, tiling
 from tilewright.plans import detection
-from tilewright.sources import images, png, synthetic
+from tilewright.sources import images, jpeg, png, results, synthetic
 from tilewright.streaming import changed_tiles
 
 
@@ -92,7 +92,33 @@ def test_circuit_is_the_shift_and_the_fast_result():
         circuit.differences(np.ones((1, 4)), shots=0)
 
 
-def test_registry():
+@pytest.fixture
+def registry(monkeypatch):
+    """What a test registers is gone after it."""
+    monkeypatch.setattr(backends, "_factories", dict(backends._factories))
+
+
+def test_noise_is_what_random_errors_give_on_average():
+    r = np.random.default_rng(12)
+    amps = r.random((3, 8))
+    amps /= np.sqrt((amps * amps).sum(axis=1, keepdims=True))
+    assert np.allclose(circuit.noisy_probabilities(amps, 0.0), circuit.run(amps) ** 2)
+    total = np.zeros((3, 16))
+    for _ in range(3000):
+        state = circuit.prepared(amps)
+        for gate, controls, target in circuit.gates(3)[1:]:
+            state = circuit.apply(state, gate, controls, target)
+            if r.random() < (0.2 if controls else 0.1):
+                for q in (*controls, target):
+                    error = r.integers(4)
+                    state = circuit.apply(state, "x", (), q) if error in (1, 2) else state
+                    state = circuit.apply(state, "z", (), q) if error in (2, 3) else state
+        total += state * state
+    p = circuit.noisy_probabilities(amps, 0.1)
+    assert np.allclose(p.sum(axis=1), 1) and np.allclose(total / 3000, p, atol=0.02)
+
+
+def test_registry(registry, monkeypatch):
     with pytest.raises(ValueError):
         backends.register("EXACT", lambda c: backends.exact)
     with pytest.raises(ValueError, match="there are"):
@@ -100,15 +126,71 @@ def test_registry():
     for name in ("gpu", "hardware"):
         with pytest.raises(backends.NotAvailable):
             backends.get(name)
+    backends.register("double", lambda c: lambda t, k: 2 * backends.exact(t, k))
+    assert "double" in backends.available() and "double" not in backends.BUILT_IN
+    said = set()
+    for token, client in ((None, "json"), ("x", "no_such_module"), ("x", "json")):
+        monkeypatch.setattr(backends, "CLIENT", client)
+        monkeypatch.setenv(backends.TOKEN, token) if token else monkeypatch.delenv(backends.TOKEN, raising=False)
+        with pytest.raises(backends.NotAvailable) as e:
+            backends.get("hardware")
+        said.add(str(e.value))
+    assert len(said) == 3
+
+
+def test_custom_backend_runs(registry, pixels_of, array_of):
     backends.register("double", lambda c: lambda t, k: 2 * backends.exact(t, k), overwrite=True)
-    assert "double" in backends.available()
+    v = np.random.default_rng(6).random((9, 10))
+    for settings in ({}, {"executor": ExecutorKind.SERIAL}, {"workers": 2, "batch_size": 3}):
+        out = detection.magnitudes(pixels_of(v), EdgeConfig(backend="double", tile_size=4, **settings))
+        assert np.allclose(array_of(out), 2 * gradient(v))
+    assert detection.magnitudes(pixels_of(v), EdgeConfig(backend="double", tile_size=4, workers=1)).rdd.getNumPartitions() == 1
+    sizes = []
+    sized = lambda t, k: sizes.append(len(t)) or backends.exact(t, k)
+    assert np.allclose(array_of(tiling.stitch(backends.run_tiles(tiling.split(pixels_of(v), 4), 4, sized, 3), 4)), gradient(v)) and not sizes  # in workers
+
+
+def test_resources(spark):
+    found = detected_resources(spark)
+    assert found == {"memory": 4 << 30, "cores": 4, "total_cores": 4}
+    config = settings_for(spark, 2160, 3840, EdgeConfig(workers=3))
+    assert config.workers == 3 and config.batch_size == suggested_settings(2160, 3840, memory=1 << 30)["batch_size"]
+
+
+def test_progress(spark):
+    import threading
+
+    told, done = [], threading.Event()
+    df = detection.watched(spark.range(37), lambda n: (told.append(n), done.set()))
+    assert df.count() == 37 and done.wait(30) and told == [37]
+
+
+def test_strips_equal_columns(pixels_of, array_of):
+    r = np.random.default_rng(13)
+    for shape, rows in (((1, 1), 3), ((3, 5), 3), ((23, 31), 4), ((20, 9), 7)):
+        v = np.clip(np.cumsum(r.normal(0, 0.15, shape), axis=1) + 0.5, 0, 1)
+        px = pixels_of(v)
+        cut = strips.from_lines(px, rows, 3)
+        for method, f in stencils.DETECTORS.items():
+            assert np.allclose(array_of(strips.to_pixels(strips.magnitudes(cut, method))), array_of(f(px)), atol=1e-12)
+            counted = strips.detected_counts(cut, 0.3, method).first()
+            m = array_of(f(px))
+            assert counted.peak == pytest.approx(m.max()) and counted.n_edges == ((m >= 0.3 * m.max()).sum() if m.max() > 1e-9 else 0)
+        for thresholds in ((None, None), (30.0, 200.0), (5.0, 300.0)):
+            masks = strips.canny_masks(cut, *thresholds)
+            want = canny.canny(v, *thresholds)
+            assert np.array_equal(array_of(strips.canny_pixels(masks)) > 0, want)
+            assert masks.groupBy().sum("open").first()[0] is not None and strips.canny_counts(masks).first().n_edges == want.sum()
+    with pytest.raises(ValueError):
+        strips.from_lines(px, 2, 3)
 
 
-def test_custom_backend_runs(pixels_of, array_of):
-    backends.register("double", lambda c: lambda t, k: 2 * backends.exact(t, k), overwrite=True)
-    v = np.random.default_rng(6).random((9, 10))
-    out = detection.magnitudes(pixels_of(v), EdgeConfig(backend="double", tile_size=4))
-    assert np.allclose(array_of(out), 2 * gradient(v))
+def test_canny_spreads_over_many_strips(pixels_of, array_of):
+    v = np.zeros((40, 40))
+    v[4:36, 4:36] = np.linspace(0.12, 0.9, 32)[:, None]  # weak at the top, strong at the bottom
+    want = canny.canny(v, 100.0, 700.0)
+    assert want[6:, 3:5].any() and not np.array_equal(want, canny.canny(v, 699.0, 700.0))
+    assert np.array_equal(array_of(strips.canny_pixels(strips.canny_masks(strips.from_lines(pixels_of(v), 4, 3), 100.0, 700.0))) > 0, want)
 
 
 def test_resize(pixels_of, array_of):
@@ -140,8 +222,11 @@ def test_metrics(pixels_of):
     none = mask(pixels_of, np.zeros((20, 20), dtype=bool))
     assert tuple(metrics.edge_scores(none, none).first())[1:] == (1, 1, 1) and tuple(metrics.edge_scores(a, none).first())[1:] == (0, 0, 0)
     assert metrics.iou(none, none).first().iou == 1 and metrics.iou(a, b).first().iou == 0 and metrics.edge_density(a).first().edge_density == 0.05
-    with pytest.raises(Exception, match="differ in size"):
-        metrics.psnr(metrics.aligned(zero, pixels_of(np.zeros((10, 11))), "v")).collect()
+    for other in (pixels_of(np.zeros((10, 11))), zero.where("y > 0"), pixels_of(np.zeros((10, 10)), "b")):
+        with pytest.raises(Exception, match="differ in size"):
+            metrics.psnr(metrics.aligned(zero, other, "v")).collect()
+        with pytest.raises(Exception, match="differ in size"):
+            post.signed_difference(*(x.withColumnRenamed("v", "m") for x in (zero, other))).collect()
 
 
 def test_scene_edges_are_found(spark, array_of):
@@ -201,6 +286,57 @@ def test_png():
             png.decode(bad)
 
 
+def test_jpeg():
+    r = np.random.default_rng(14)
+    for shape in ((8, 8), (1, 1), (37, 53)):
+        v = np.clip(np.cumsum(r.normal(0, 3, shape), axis=1) + 120, 0, 255).astype(np.uint8)
+        data = jpeg.encode_grey(v, 1, 6)
+        assert np.abs(jpeg.decode(data)[..., 0].astype(int) - v).max() <= 1 and jpeg.size(data) == shape[::-1] and jpeg.orientation(data) == 6
+        assert images.grey(data).shape == shape[::-1] and images.check(data)[3] in (None, "smaller than 2 pixels")
+    for bad in (b"", b"\xff\xd8", data[: len(data) // 2], data[:300], b"\xff\xd8\xff\xd9"):
+        with pytest.raises(jpeg.ImageError):
+            jpeg.decode(bad)
+    assert images.check(data[: len(data) // 2])[3] == "truncated or damaged"
+
+
+def test_jpeg_equals_the_jvm_decoder(spark, tmp_path):
+    """Sequential and progressive colour files that the JVM writes, at full and at half the chroma."""
+    jvm, r = spark._jvm, np.random.default_rng(15)
+    h, w = 45, 62
+    base = np.clip(np.cumsum(np.cumsum(r.normal(0, 1.5, (h, w, 3)), axis=0), axis=1) / 4 + 128, 0, 255).astype(int)
+    made = jvm.java.awt.image.BufferedImage(w, h, 1)
+    for y in range(h):
+        for x in range(w):
+            made.setRGB(x, y, int(base[y, x, 0] << 16 | base[y, x, 1] << 8 | base[y, x, 2]))
+    for progressive in (False, True):
+        path = str(tmp_path / f"{progressive}.jpg")
+        writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+        param = writer.getDefaultWriteParam()
+        if progressive:
+            param.setProgressiveMode(1)
+        out = jvm.javax.imageio.ImageIO.createImageOutputStream(jvm.java.io.File(path))
+        writer.setOutput(out)
+        writer.write(None, jvm.javax.imageio.IIOImage(made, None, None), param)
+        out.close()
+        data = open(path, "rb").read()
+        assert any(kind == (0xC2 if progressive else 0xC0) for kind, _, _ in jpeg.segments(data))
+        row = spark.read.format("image").load(path).select("image.*").first()
+        want = np.frombuffer(row.data, np.uint8).reshape(h, w, 3)[..., ::-1].astype(int)
+        assert np.abs(jpeg.decode(data).astype(int) - want).max() <= 4
+
+
+def test_png_files_and_sample(spark, tmp_path, pixels_of, array_of):
+    v = np.random.default_rng(16).integers(0, 256, (5, 7)).astype(np.uint8)
+    px = pixels_of(v / 255.0, "a/b.jpeg")
+    written = images.write_png_files(px, f"file://{tmp_path}/out", "v").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in written] == ["a_b_qhed_edges.png"] and [p.name for p in (tmp_path / "out").iterdir()] == ["a_b_qhed_edges.png"]
+    assert np.array_equal(png.decode((tmp_path / "out/a_b_qhed_edges.png").read_bytes())[0][..., 0], v)
+    found = images.sample_or_scene(spark, str(tmp_path / "out/a_b_qhed_edges.png"))
+    assert np.allclose(array_of(found, "v") * 255, v)
+    assert images.sample_or_scene(spark, str(tmp_path / "none.png")).count() == images.sample_or_scene(spark).count() == 540 * 960
+    assert len(results.SAMPLE) == 5
+
+
 def test_files(spark, tmp_path, array_of):
     v = np.random.default_rng(10).integers(0, 256, (6, 8)).astype(np.uint8)
     (tmp_path / "in").mkdir()
@@ -225,7 +361,7 @@ def test_config():
     assert EdgeConfig().with_updates(tile_size=16).tile_size == 16
     config, side, note = EdgeConfig(backend="circuit").limited()
     assert (config.tile_size, side) == (4, 64) and note and EdgeConfig().limited()[2] is None
-    assert request_config({"shots": "x"}).shots is None and request_config({"shots": "12"}).shots == 12
+    assert request_config({"shots": "x"}).shots is None and request_config({"shots": "12"}).shots == 12 and request_config({"tile_size": 5}).tile_size == 8
     assert suggested_settings(2160, 3840)["tile_size"] == 16 and suggested_settings(64, 64, "circuit")["batch_size"] == 32
 
 

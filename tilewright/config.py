@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import re
 from enum import Enum
 
+from pyspark.sql import SparkSession
+
 #: Tile sizes that can be asked for.
 TILE_SIZES = (4, 8, 16, 64, 128, 256, 512)
+#: Tile sizes that a request may ask for.
+REQUEST_TILES = (4, 8, 16)
 #: Backends that simulate a circuit for each tile, and what their input is limited to.
 CIRCUIT_BACKENDS, CIRCUIT_MAX_SIDE, CIRCUIT_TILE = ("circuit", "circuit-noisy", "hardware"), 64, 4
 
@@ -25,7 +30,7 @@ class Preset(Enum):
 
 
 class ExecutorKind(Enum):
-    """Accepted for compatibility; Spark's scheduler does the work in every case."""
+    """How tiles are dealt out: in as many tasks as there are, or as ``workers`` says (threads and processes alike), or in one task."""
 
     THREAD = "thread"
     PROCESS = "process"
@@ -69,10 +74,10 @@ class EdgeConfig:
 
 
 def request_config(payload: dict) -> EdgeConfig:
-    """A config from the strings of a request: unknown tile sizes are an error, shots count only if they are digits."""
-    shots = str(payload.get("shots") or "")
+    """A config from the strings of a request: tile sizes other than REQUEST_TILES count as 8, shots only if they are digits."""
+    shots, tile = str(payload.get("shots") or ""), int(payload.get("tile_size", 8))
     return EdgeConfig(
-        tile_size=int(payload.get("tile_size", 8)),
+        tile_size=tile if tile in REQUEST_TILES else 8,
         backend=str(payload.get("backend", "exact")),
         threshold=float(payload.get("threshold", 0.2)),
         shots=int(shots) if shots.isdigit() else None,
@@ -92,3 +97,30 @@ def suggested_settings(height: int, width: int, backend: str = "exact", memory:
     tiles = math.ceil(height / (tile - 1)) * math.ceil(width / (tile - 1))
     tasks = max(1, min(min(cpus, 4) if circuit else cpus, math.ceil(tiles / batch)))
     return {"tile_size": tile, "batch_size": batch, "partitions": 1 if gpu else tasks}
+
+
+#: Memory that is assumed where the session doesn't say, and the share of a JVM's memory that is left to Python there.
+ASSUMED_MEMORY = 4 << 30
+
+
+def _bytes(size: str) -> int:
+    m = re.match(r"(\d+)\s*([kmgt]?)b?\Z", size.strip().lower())
+    if not m:
+        raise ValueError(f"not a size: {size!r}")
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]]
+
+
+def detected_resources(spark: SparkSession) -> dict[str, int]:
+    """Memory of an executor, its cores and those of all executors, as far as the session knows."""
+    conf, local = spark.sparkContext.getConf(), spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    memory = conf.get("spark.driver.memory" if local else "spark.executor.memory", None)
+    total = spark.sparkContext.defaultParallelism
+    cores = total if local else int(conf.get("spark.executor.cores", "1"))
+    return {"memory": _bytes(memory) if memory else ASSUMED_MEMORY, "cores": cores, "total_cores": total}
+
+
+def settings_for(spark: SparkSession, height: int, width: int, config: EdgeConfig | None = None) -> EdgeConfig:
+    """``config`` with the batch size and number of tasks that the session's resources suggest, where it leaves them open."""
+    config, found = config or EdgeConfig(), detected_resources(spark)
+    fit = suggested_settings(height, width, config.backend, found["memory"] // max(1, found["cores"]), found["total_cores"])
+    return config.with_updates(batch_size=config.batch_size or fit["batch_size"], workers=config.workers or fit["partitions"])

@@ -115,3 +115,27 @@ def index_of(y: Column, x: Column, height: int, width: int) -> Column:
 def coordinates_of(k: Column, height: int, width: int) -> Column:
     inside = (k >= 0) & (k < height * width)
     return F.when(inside, F.struct(F.floor(k / width).cast("int").alias("y"), (k % width).alias("x"))).otherwise(F.raise_error(F.lit("outside of the image")).cast("struct<y:int,x:int>"))
+
+
+def dominant(re: Column, im: Column) -> Column:
+    """The place of the largest |amplitude|, the first of equals."""
+    size = F.zip_with(re, im, lambda a, b: F.round(a * a + b * b, 12))
+    return (F.array_position(size, F.array_max(size)) - 1).cast("int")
+
+
+def real_state(re: Column, im: Column) -> Column:
+    """A state that is real up to a global phase, without it; its sign is such that the even amplitudes' sum isn't negative."""
+
+    def turned(k: Column) -> Column:
+        def by(a: Column, b: Column) -> Column:
+            size = F.sqrt(a * a + b * b)
+            c, d = F.when(size > 0, a / size).otherwise(1.0), F.when(size > 0, b / size).otherwise(0.0)
+            return F.zip_with(re, im, lambda x, y: x * c + y * d)
+
+        return by(F.get(re, k), F.get(im, k))
+
+    def signed(s: Column) -> Column:
+        even = F.aggregate(F.filter(s, lambda _, i: i % 2 == 0), F.lit(0.0), lambda a, e: a + e)
+        return F.transform(s, lambda v: F.when(even < 0, -v).otherwise(v))
+
+    return let(let(dominant(re, im), turned), signed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -54,24 +56,35 @@ def _circuit(shots: int | None, seed: int | None, noisy: bool) -> Backend:
     return run
 
 
-def _missing(what: str) -> Callable[[EdgeConfig], Backend]:
-    def factory(config: EdgeConfig) -> Backend:
-        raise NotAvailable(f"{what} isn't available on this cluster")
+def _gpu(config: EdgeConfig) -> Backend:
+    raise NotAvailable("a CUDA device isn't available on this cluster")
 
-    return factory
+
+#: Where the hardware backend looks for its access token, and the client library that it would use.
+TOKEN, CLIENT = "TILEWRIGHT_HARDWARE_TOKEN", "qiskit_ibm_runtime"
+
+
+def _hardware(config: EdgeConfig) -> Backend:
+    """Never runs: says whether the token or the client is missing, or that live runs are switched off."""
+    if not os.environ.get(TOKEN):
+        raise NotAvailable(f"a quantum processor isn't configured: set {TOKEN}, or use a simulated backend")
+    if importlib.util.find_spec(CLIENT) is None:
+        raise NotAvailable(f"a quantum processor can't be reached: {CLIENT} isn't installed")
+    raise NotAvailable("a quantum processor is configured, but live runs are switched off")
 
 
 register("exact", lambda c: exact)
 register("circuit", lambda c: _circuit(c.shots, c.seed, False))
 register("circuit-noisy", lambda c: _circuit(c.shots, c.seed, True))
-register("gpu", _missing("a CUDA device"))
-register("hardware", _missing("a quantum processor"))
+register("gpu", _gpu)
+register("hardware", _hardware)
+BUILT_IN = tuple(available())
 
 
-def capabilities() -> list[tuple[str, bool, str]]:
-    """(backend, usable, reason)."""
+def capabilities(names: tuple[str, ...] | None = None) -> list[tuple[str, bool, str]]:
+    """(backend, usable, reason) of all that are registered, or of ``names``."""
     out = []
-    for name in available():
+    for name in available() if names is None else names:
         try:
             get(name)
             out.append((name, True, ""))
@@ -80,11 +93,16 @@ def capabilities() -> list[tuple[str, bool, str]]:
     return out
 
 
-def run_tiles(tiles: DataFrame, t: int, backend: Backend) -> DataFrame:
-    """tiles(image_id, h, w, tile_id, px) to cores(image_id, h, w, tile_id, core): a narrow map of Arrow batches."""
+def run_tiles(tiles: DataFrame, t: int, backend: Backend, batch_size: int = 0) -> DataFrame:
+    """tiles(image_id, h, w, tile_id, px) to cores(image_id, h, w, tile_id, core): a narrow map of Arrow batches, cut to ``batch_size`` tiles if it isn't 0."""
 
-    def run(batches):
+    def cut(batches):
         for batch in batches:
+            step = batch_size or max(1, batch.num_rows)
+            yield from (batch.slice(k, step) for k in range(0, batch.num_rows, step))
+
+    def run(batches):
+        for batch in cut(batches):
             px = np.asarray(batch.column(4).flatten()).reshape(-1, t, t)
             keys = list(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
             cores = np.ascontiguousarray(backend(px, keys), dtype=np.float64)

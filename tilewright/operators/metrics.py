@@ -11,12 +11,12 @@ PIXEL = ["image_id", "y", "x"]
 
 
 def aligned(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """Pixels of both with ``a`` and ``b``; raises where the images' sizes differ."""
+    """Pixels of both with ``a`` and ``b``; raises where the images' sizes differ or one of them lacks a pixel."""
     x = a.select("image_id", "h", "w", "y", "x", F.col(value).alias("a"))
     y = b.select(*PIXEL, F.col("h").alias("h2"), F.col("w").alias("w2"), F.col(value).alias("b"))
-    same = (F.col("h") == F.col("h2")) & (F.col("w") == F.col("w2"))
-    checked = F.when(same, F.col("a")).otherwise(F.raise_error(F.lit("images differ in size")))
-    return x.join(y, PIXEL).withColumn("a", checked).drop("h2", "w2")
+    # An outer join costs what an inner one does, and pixels without a partner don't vanish.
+    checked = F.when((F.col("h") == F.col("h2")) & (F.col("w") == F.col("w2")), F.col("a")).otherwise(F.raise_error(F.lit("images differ in size")))
+    return x.join(y, PIXEL, "full").withColumn("a", checked).drop("h2", "w2")
 
 
 def _at_most_one(mse: Column) -> Column:

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
+from . import stencils
+
 #: Peaks at most this large count as none.
 PEAK = 1e-9
 
 
 def normalise(magnitudes: DataFrame) -> DataFrame:
-    """``m`` divided by its image's peak; zeros where there is none. The peaks, a row for each image, are joined back."""
+    """``m`` divided by its image's peak; zeros where there is none. The peaks, a row for each image, are joined back.
+
+    Whether they are broadcast is left to the planner, which knows how many there are by then; where it shuffles,
+    a large image's rows are split by adaptive execution.
+    """
     peaks = magnitudes.groupBy("image_id").agg(F.max("m").alias("peak"))
     joined = magnitudes.join(peaks, "image_id")
     return joined.withColumn("m", F.when(F.col("peak") > PEAK, F.col("m") / F.col("peak")).otherwise(0.0)).drop("peak")
@@ -35,6 +42,22 @@ def adaptive(magnitudes: DataFrame, percentile: float = 85.0) -> DataFrame:
     return magnitudes.join(cuts, "image_id", "left").withColumn("e", F.coalesce(F.col("m") >= F.greatest(F.col("cut"), F.lit(PEAK)), F.lit(False))).drop("cut")
 
 
+def tile_normalised(px: Column) -> Column:
+    """A tile divided by its largest value, or by 1 where that is 0."""
+    return arrays.let(F.coalesce(F.nullif(F.array_max(px), F.lit(0.0)), F.lit(1.0)), lambda top: F.transform(px, lambda v: v / top))
+
+
+def interior_sobel(pixels: DataFrame) -> DataFrame:
+    """A quarter of the Sobel magnitude inside the image, 0 on its border: the variant that needs no values beyond it."""
+    inside = (F.col("y") > 0) & (F.col("y") < F.col("h") - 1) & (F.col("x") > 0) & (F.col("x") < F.col("w") - 1)
+    return stencils.sobel(pixels).withColumn("m", F.when(inside, F.col("m") / 4).otherwise(0.0))
+
+
+def two_levels(m: Column, low: float = 0.05, high: float = 0.15) -> Column:
+    """1 above ``high``, 0.5 above ``low``, else 0."""
+    return F.when(m > high, 1.0).when(m > low, 0.5).otherwise(0.0)
+
+
 def clip(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
@@ -45,11 +68,11 @@ def byte_level(c: Column) -> Column:
 
 
 def signed_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``diff``: a minus b, pixel by pixel; raises where the images' sizes differ."""
+    """``diff``: a minus b, pixel by pixel; raises where the images' sizes differ or one of them lacks a pixel."""
     other = b.select("image_id", "y", "x", F.col("m").alias("other"), F.col("h").alias("h2"), F.col("w").alias("w2"))
     same = (F.col("h") == F.col("h2")) & (F.col("w") == F.col("w2"))
     diff = F.when(same, F.col("m") - F.col("other")).otherwise(F.raise_error(F.lit("images differ in size")).cast("double"))
-    return a.join(other, ["image_id", "y", "x"]).select("image_id", "h", "w", "y", "x", diff.alias("diff"))
+    return a.join(other, ["image_id", "y", "x"], "full").select("image_id", "h", "w", "y", "x", diff.alias("diff"))
 
 
 def crop(pixels: DataFrame, side: int = 8) -> DataFrame:

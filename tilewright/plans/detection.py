@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EdgeConfig, Preset
+from ..config import EdgeConfig, ExecutorKind, Preset
 from ..operators import backends, canny, metrics, post, resample, stencils, tiling
 
 METHODS = ("qhed", "sobel", "prewitt", "canny", "laplacian")
@@ -26,10 +28,25 @@ def magnitudes(pixels: DataFrame, config: EdgeConfig) -> DataFrame:
     """``m`` by the config's backend. The exact one needs no tiles: a pixel's neighbours give the same."""
     if config.backend.lower() == "exact":
         return stencils.qhed(pixels)
-    cores = backends.run_tiles(tiling.split(pixels, config.tile_size), config.tile_size, backends.get(config.backend, config))
+    tiles = tiling.split(pixels, config.tile_size)
+    if config.executor is ExecutorKind.SERIAL or config.workers:
+        tiles = tiles.coalesce(1 if config.executor is ExecutorKind.SERIAL else config.workers)
+    cores = backends.run_tiles(tiles, config.tile_size, backends.get(config.backend, config), config.batch_size)
     return tiling.stitch(cores, config.tile_size)
 
 
+def watched(df: DataFrame, progress: Callable[[int], None], name: str = "progress") -> DataFrame:
+    """``df``; when an action over it has ended, ``progress`` is called with the number of rows that passed here."""
+    seen = Observation(name)
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def wait() -> None:
+        progress(seen.get["rows"])
+
+    threading.Thread(target=wait, daemon=True).start()
+    return out
+
+
 def run(pixels: DataFrame, height: int, width: int, config: EdgeConfig | None = None) -> DataFrame:
     """(image_id, h, w, y, x, m, e): normalised edges and whether they reach the threshold."""
     scaled, _, _, config = preprocess(pixels, height, width, config or EdgeConfig())

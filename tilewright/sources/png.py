@@ -135,9 +135,18 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
     return out, top
 
 
+def exif(data: bytes) -> bytes:
+    """The TIFF block of an eXIf chunk; empty where there is none."""
+    return next((body for kind, body in chunks(data) if kind == b"eXIf"), b"")
+
+
 def grey(data: bytes) -> np.ndarray:
-    """Intensities in [0, 1]. 16-bit grey keeps its depth; all else is composed over white and becomes 8-bit luma first."""
-    samples, top = decode(data)
+    """Intensities in [0, 1] of a PNG."""
+    return intensities(*decode(data))
+
+
+def intensities(samples: np.ndarray, top: int) -> np.ndarray:
+    """In [0, 1]. 16-bit grey keeps its depth; all else is composed over white and becomes 8-bit luma first."""
     if top == 65535 and samples.shape[2] == 1:
         return np.clip(samples[..., 0] / 65535.0, 0, 1)
     v = samples.astype(np.float64) * (255.0 / top)
@@ -153,14 +162,18 @@ def grey(data: bytes) -> np.ndarray:
     return v[..., 0] / 255.0
 
 
-def encode(levels: np.ndarray) -> bytes:
-    """An 8-bit grey PNG."""
-    levels = np.ascontiguousarray(levels, dtype=np.uint8)
-    h, w = levels.shape
-    raw = np.zeros((h, w + 1), dtype=np.uint8)
-    raw[:, 1:] = levels
+def encode(samples: np.ndarray, orientation: int | None = None) -> bytes:
+    """A PNG of samples (h, w) or (h, w, 1 to 4): grey, grey + alpha, RGB or RGBA; 16 bits deep for uint16, else 8. ``orientation`` is its EXIF tag."""
+    wide = samples.dtype == np.uint16
+    samples = np.ascontiguousarray(samples, dtype=">u2" if wide else np.uint8)
+    h, w, channels = *samples.shape[:2], 1 if samples.ndim == 2 else samples.shape[2]
+    lines = samples.reshape(h, -1).view(np.uint8)
+    raw = np.zeros((h, lines.shape[1] + 1), dtype=np.uint8)
+    raw[:, 1:] = lines
+    colour = {n: c for c, n in _CHANNELS.items() if c != 3}[channels]
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + chunk(b"IEND", b"")
+    tag = b"" if orientation is None else chunk(b"eXIf", b"MM\0*" + struct.pack(">IHHHIHHI", 8, 1, 0x0112, 3, 1, orientation, 0, 0))
+    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 16 if wide else 8, colour, 0, 0, 0)) + tag + chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
 def levels(v: np.ndarray) -> np.ndarray:
