@@ -182,10 +182,10 @@ def _counted(strips: DataFrame, threshold: float, above: int, below: int, detect
                 n.append(int(c[np.searchsorted(v, max(threshold * top, 1e-12)) :].sum()) if top > 1e-9 else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["image_id", "peak", "n"])
 
-    found = strips.mapInArrow(run, "image_id string, y0 int, peak double, values binary, counts binary").repartition("image_id", "y0")
+    found = strips.mapInArrow(run, "image_id string, y0 int, peak double, values binary, counts binary").where("image_id is not null and y0 is not null and peak is not null").repartition("image_id", "y0")
     # A row for each image; reading all columns keeps the exchange the same on both sides.
     peaks = found.groupBy("image_id").agg(F.max("peak").alias("top"), F.max(F.length("values") + F.length("counts") + F.col("y0")).alias("used"))
-    joined = found.join(F.broadcast(peaks), "image_id").where("used >= 0").select("image_id", "top", "values", "counts")
+    joined = found.join(F.broadcast(peaks), "image_id").where("used >= 0 and peak <= top").select("image_id", "top", "values", "counts")
     return joined.mapInArrow(count, "image_id string, peak double, n long").groupBy("image_id", "peak").agg(F.sum("n").alias("n_edges"))
 
 
