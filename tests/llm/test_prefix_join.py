@@ -73,6 +73,40 @@ def test_against_all_pairs(spark, rows, monkeypatch, k, part, whole, rounds, fre
     assert {r.doc_id for r in kept} == want
 
 
+def near_misses(r, n):
+    """Texts that differ from one by random words: most of their pairs are just below the threshold."""
+    base = ["w" + str(r.randrange(10**6)) for _ in range(60)]
+    out = []
+    for k in range(n):
+        copy = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3])):
+            copy[r.randrange(len(copy))] = f"x{k}{r.randrange(10**6)}"
+        out.append((k, " ".join(copy)))
+    return out
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_a_group_of_near_misses(spark, monkeypatch, rounds):
+    monkeypatch.setattr(prefix_join, "ROUNDS", rounds)
+    group = near_misses(random.Random(4), 80)
+    df = spark.createDataFrame(group, "doc_id long, text string")
+    want = brute(group, 3, 90, 100)
+    assert len({c for *_, c in want}) > 3
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in prefix_join.groups(df, 3, 90, 100).collect()), key=str) == want
+
+
+def test_links(spark):
+    group = near_misses(random.Random(5), 60)
+    df = spark.createDataFrame([*group, (900, group[0][1]), (901, None)], "doc_id long, text string")
+    links, members = prefix_join.Join(df, 3, 90, 100).links()
+    of = {r.doc_id: r.node for r in members.collect()}
+    found = [frozenset((r.a, r.b)) for r in links.collect()]
+    sets = {of[d]: shingle_set(t, 3) for d, t in group}
+    nodes = sorted(sets)
+    want = {frozenset((a, b)) for i, a in enumerate(nodes) for b in nodes[:i] if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    assert of[900] == of[0] and 901 not in of and len(found) == len(set(found)) and set(found) == want and len(want) > 20
+
+
 def test_sql(spark, rows, tmp_path):
     known = [x for x in dict(rows).items() if x[0] is not None]
     df = spark.createDataFrame(known, "doc_id long, text string")

@@ -33,7 +33,7 @@ from .graph import components
 
 #: Words and shingles counted at once where they are read, the least count that is passed on from there, and the most
 #: frequent ones of each that are kept for the order.
-FLUSH, LOCAL, FREQUENT = 1_500_000, 3, 200_000
+FLUSH, LOCAL, FREQUENT = 1_000_000, 3, 200_000
 #: Prefix matches that may be asked for, what verifying costs against scanning an entry, and the partners that
 #: a shingle has at least when it is thought to have none.
 MATCHES, VERIFY, BACKGROUND = (1, 2, 3, 4, 6), 1.0, 0.01
@@ -41,8 +41,8 @@ MATCHES, VERIFY, BACKGROUND = (1, 2, 3, 4, 6), 1.0, 0.01
 BITS = 512
 #: Rounds that verify one candidate for each component before all others are made.
 ROUNDS = 1
-#: Tables of at most this many narrow rows are broadcast, and a fifth of it of rows with parities; larger ones are shuffled.
-BROADCAST_ROWS, WIDE = 500_000, 5
+#: Tables of at most this many narrow rows are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 100_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,7 +52,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -290,8 +290,7 @@ class Join:
         rows = self._rows()
         classes = self._classes(rows)
         entries = self._entries(classes)
-        alone = common.written(entries.select("node", F.col("node").alias("comp")).distinct(), "labels")
-        pairs = common.written(self._all_pairs(entries, alone), "pairs")
+        pairs = common.written(self._all_pairs(entries, classes, None), "pairs")
         found = self._verified(pairs, classes)
         members = rows.where("n > 0").join(classes.select("sig", "node"), "sig").select("doc_id", "text_key", "node")
         return self.spark.createDataFrame([], "a long, b long") if found is None else found, members
@@ -317,22 +316,20 @@ class Join:
         )
 
     def _entries(self, classes: DataFrame) -> DataFrame:
-        """(token, node, n, ell, at, short, bits) of prefix shingles that two classes may meet at, one of them in its short prefix."""
+        """(token, node, n, ell, at, short) of prefix shingles that two classes may meet at, one of them in its short prefix."""
         entries = classes.select("node", "n", "ell", "short", F.posexplode("prefix").alias("at", "token")).withColumn("short", F.col("at") < F.col("short"))
         met = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("short")).where("c > 1 and short").select("token")
         met = common.written(met, "shared-shingles")
-        entries = common.written(entries.join(small(met), "token"), "shared-entries")
-        bits = common.written(classes.select("node", "bits").join(entries.select("node").distinct(), "node", "left_semi"), "shared-parities")
-        out = common.written(entries.join(small(bits, WIDE), "node"), "open-entries")
-        common.discard(met, entries, bits)
+        out = common.written(entries.join(small(met), "token"), "shared-entries")
+        common.discard(met)
         return out
 
     def _labelled(self, classes: DataFrame, entries: DataFrame) -> DataFrame:
-        labels = common.written(entries.select("node", F.col("node").alias("comp")).distinct(), "labels")
-        tried = None
+        """``classes`` (sig, rid, src_key, n) with ``comp``, the smallest node of the component."""
+        labels = tried = None
         for turn in range(ROUNDS):
             # One turn joins nearly all classes to the middles of their groups; more of them find little.
-            pairs = common.written(self._leader_pairs(entries, labels, tried, turn), "leader-pairs")
+            pairs = common.written(self._leader_pairs(entries, classes, labels, tried, turn), "leader-pairs")
             links = self._verified(pairs, classes)
             both = pairs if tried is None else common.written(tried.union(pairs), "tried-pairs")
             if tried is not None:
@@ -341,18 +338,15 @@ class Join:
             if links is None or links.isEmpty():
                 break
             labels = self._merged(labels, links)
-        pairs = self._all_pairs(entries, labels)
+        pairs = self._all_pairs(entries, classes, labels)
         pairs = common.written(pairs.join(small(tried), ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
         common.discard(tried, entries)
         links = self._verified(pairs, classes)
         common.discard(pairs)
         if links is not None and not links.isEmpty():
             labels = self._merged(labels, links)
-        linked = labels.join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("comp"), "comp", "left_semi")
-        linked = common.written(linked.select("node", "comp"), "linked")
-        out = classes.select("node", "sig", "rid", "src_key", "n").join(small(linked), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        out = common.written(out.drop("node"), "labelled-classes")
-        common.discard(linked, labels, classes)
+        out = common.written(_with_comp(classes.select("node", "sig", "rid", "src_key", "n"), labels).drop("node"), "labelled-classes")
+        common.discard(labels, classes)
         return out
 
     def _may_link(self, x: str, y: str):
@@ -360,44 +354,54 @@ class Join:
         n = F.col(f"{x}.n") + F.col(f"{y}.n")
         matches = F.least(f"{x}.ell", f"{y}.ell", F.col(f"{x}.at") + 1, F.col(f"{y}.at") + 1)
         most = matches - 1 + F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
-        differ = sum((F.bit_count(F.col(f"{x}.bits.b{k}").bitwiseXOR(F.col(f"{y}.bits.b{k}"))) for k in _LONGS[1:]), F.bit_count(F.col(f"{x}.bits.b0").bitwiseXOR(F.col(f"{y}.bits.b0"))))
-        both, part = F.lit(self.whole + self.part), F.lit(self.part)
-        size = F.lit(self.whole) * F.col(f"{x}.n") >= part * F.col(f"{y}.n")
-        return F.col(f"{x}.short") & size & (both * most >= part * n) & (both * (n - differ) >= 2 * part * n)
+        size = F.lit(self.whole) * F.col(f"{x}.n") >= F.lit(self.part) * F.col(f"{y}.n")
+        return F.col(f"{x}.short") & size & (F.lit(self.whole + self.part) * most >= F.lit(self.part) * n)
+
+    def _parities_allow(self, n, x: str, y: str):
+        """Whether the parities ``x`` and ``y`` of two sets of ``n`` shingles together allow that they link."""
+        differ = sum((F.bit_count(F.col(f"{x}.b{k}").bitwiseXOR(F.col(f"{y}.b{k}"))) for k in _LONGS[1:]), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
+        return F.lit(self.whole + self.part) * (n - differ) >= F.lit(2 * self.part) * n
 
     def _before(self, x: str, y: str):
         return (F.col(f"{x}.n") < F.col(f"{y}.n")) | ((F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.node") < F.col(f"{y}.node")))
 
-    def _leader_pairs(self, entries: DataFrame, labels: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
+    def _leader_pairs(self, entries: DataFrame, classes: DataFrame, labels: DataFrame | None, tried: DataFrame | None, turn: int) -> DataFrame:
         """For each class the pair with the leader of another component that it shares most prefix shingles with: a < b by (n, node).
 
         A class whose shared shingles come early in its order has few of its own, and is near the middle of its group: it
         leads in every second turn. In the others leaders are drawn by hash, each time others.
         """
-        e = entries.join(small(labels), "node")
+        e = _with_comp(entries, labels)
         rank = F.xxhash64("node", F.lit(turn)) if turn % 2 else F.floor(F.col("at") * 1000 / F.col("n"))
-        first = F.min(F.struct(rank.alias("rank"), "node", "n", "ell", "at", "short", "bits", "comp"))
+        first = F.min(F.struct(rank.alias("rank"), "node", "n", "ell", "at", "short", "comp"))
         lead = e.groupBy("token").agg(first.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "l")
         lead = common.written(lead, "leaders")
-        e = e.select("token", F.struct("node", "n", "ell", "at", "short", "bits", "comp").alias("e"))
+        e = e.select("token", F.struct("node", "n", "ell", "at", "short", "comp").alias("e"))
         able = F.when(self._before("l", "e"), self._may_link("l", "e")).otherwise(self._may_link("e", "l"))
-        met = e.join(small(lead, WIDE), (e["token"] == lead["token"]) & (F.col("e.comp") != F.col("l.comp")) & able)
-        a, b = (F.when(self._before("l", "e"), F.col(x)).otherwise(F.col(y)) for x, y in (("l.node", "e.node"), ("e.node", "l.node")))
-        counted = met.select(F.col("e.node").alias("node"), a.alias("a"), b.alias("b")).groupBy("node", "a", "b").agg(F.count(F.lit(1)).alias("c"))
+        met = e.join(small(lead, 2), (e["token"] == lead["token"]) & (F.col("e.comp") != F.col("l.comp")) & able)
+        counted = met.select(F.col("e.node").alias("node"), F.col("e.n").alias("n"), F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n")).groupBy("node", "n", "lead", "lead_n").agg(F.count(F.lit(1)).alias("c"))
+        bits = classes.select("node", "bits")
+        both = counted.join(bits.select("node", F.col("bits").alias("x")), "node").join(bits.select(F.col("node").alias("lead"), F.col("bits").alias("y")), "lead")
+        both = both.where(self._parities_allow(F.col("n") + F.col("lead_n"), "x", "y"))
+        before = (F.col("lead_n") < F.col("n")) | ((F.col("lead_n") == F.col("n")) & (F.col("lead") < F.col("node")))
+        a, b = (F.when(before, F.col(x)).otherwise(F.col(y)) for x, y in (("lead", "node"), ("node", "lead")))
+        able = both.select("node", a.alias("a"), b.alias("b"), "c")
         if tried is not None:
-            counted = counted.join(small(tried), ["a", "b"], "left_anti")
-        best = counted.groupBy("node").agg(F.max(F.struct("c", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x"))
+            able = able.join(small(tried), ["a", "b"], "left_anti")
+        best = able.groupBy("node").agg(F.max(F.struct("c", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x"))
         return best.select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b")).distinct()
 
-    def _all_pairs(self, entries: DataFrame, labels: DataFrame) -> DataFrame:
+    def _all_pairs(self, entries: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
         """All pairs of classes of different components that share enough prefix shingles and that the bounds allow: a < b by (n, node)."""
-        e = entries.join(small(labels), "node")
+        e = _with_comp(entries, labels)
         open_tokens = common.written(e.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("short")).where("lo < hi and short").select("token"), "open-shingles")
-        e = common.written(e.join(small(open_tokens), "token", "left_semi"), "open-entries")
+        e = e.join(small(open_tokens), "token", "left_semi").join(classes.select("node", "bits"), "node")
+        e = common.written(e, "open-entries")
         common.discard(open_tokens)
         entry = F.struct("node", "n", "ell", "at", "short", "bits", "comp")
         x, y = e.where("short").select("token", entry.alias("x")), e.select("token", entry.alias("y"))
-        met = x.join(y, (x["token"] == y["token"]) & (F.col("x.comp") != F.col("y.comp")) & self._before("x", "y") & self._may_link("x", "y"))
+        able = self._before("x", "y") & self._may_link("x", "y") & self._parities_allow(F.col("x.n") + F.col("y.n"), "x.bits", "y.bits")
+        met = x.join(y, (x["token"] == y["token"]) & (F.col("x.comp") != F.col("y.comp")) & able)
         narrow = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.ell", "y.ell").alias("ell"))
         return narrow.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("ell").alias("ell")).where("c >= ell").select("a", "b")
 
@@ -415,16 +419,27 @@ class Join:
         common.discard(wanted, sets)
         return out
 
-    def _merged(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+    def _merged(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
         """``labels`` after ``links``: components are contracted to their labels, so only those are joined."""
-        own = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-        up = components(own.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        moved = common.written(up.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "moved")
-        out = common.written(labels.join(small(moved), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "labels")
-        common.discard(labels, moved, links)
+        of = lambda side: _with_comp(links.select(F.col(side).alias("node"), F.col("b" if side == "a" else "a").alias("other")), labels)
+        own = _with_comp(of("a").select(F.col("comp").alias("ca"), F.col("other").alias("node")), labels)
+        moved = common.written(components(own.select(F.col("ca").alias("a"), F.col("comp").alias("b"))), "moved").toDF("was", "root")
+        new = moved.where("was <> root").select(F.col("was").alias("node"), F.col("root").alias("comp"))
+        if labels is not None:
+            old = labels.join(moved, labels["comp"] == moved["was"], "left").select("node", F.coalesce("root", "comp").alias("comp"))
+            new = old.unionByName(new)
+        out = common.written(new, "labels")
+        common.discard(labels, links)
         return out
 
 
+def _with_comp(df: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``df`` with the component of its ``node``; ``labels`` (node, comp) has those that aren't their own, which are few beside all."""
+    if labels is None:
+        return df.withColumn("comp", F.col("node"))
+    return df.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
 def groups(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_key, survivor) of every row of ``docs`` (doc_id, text).
 
