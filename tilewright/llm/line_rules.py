@@ -70,9 +70,11 @@ def line_hashes(text: str | None) -> list[tuple[int, int, bytes]]:
 
 
 def _measured(batches):
+    common.begin(__name__)
     for batch in batches:
         rows, hashes, sizes = [], [], []
-        for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+        for text in batch.column(batch.schema.get_field_index("text")):
+            text = text.as_py()
             rows.append(figures(text))
             lines = line_hashes(text)
             hashes.append(np.array([x[0] for x in lines], dtype=np.int64))
@@ -139,6 +141,7 @@ def clean(docs: DataFrame) -> DataFrame:
     same = kept.join(small(changes.select(*on)), on, "left_anti").select(*[common.col(c) for c in docs.columns])
 
     def strip(batches):
+        common.begin(__name__)
         for batch in batches:
             names = batch.schema.names
             at, texts = names.index("text"), []
