@@ -32,7 +32,7 @@ def brute_kept(rows):
     for i, t, s in rows:
         f = brute_figures(t)
         failed = f[0] < line_rules.MIN_WORDS or 100 * f[4] > line_rules.MAX_REPEATED * f[0]
-        common = lambda x: len(have[s or "", norm(x)]) > max(line_rules.MIN_DOCS, line_rules.SHARE * len(sizes[s or ""]))  # noqa: E731, B023
+        common = lambda x: len(have[s or "", norm(x)]) > min(line_rules.MAX_DOCS, max(line_rules.MIN_DOCS, line_rules.SHARE * len(sizes[s or ""])))  # noqa: E731, B023
         lost = sum(len(WORD.findall(x)) for x in (t or "").split("\n") if norm(x) and common(x))
         out.append((i, *f, failed, not failed and lost <= line_rules.DEPLETED * f[0]))
     return out
@@ -63,6 +63,19 @@ def test_figures(rows):
         assert line_rules.figures(t) == brute_figures(t)
 
 
+def test_a_shared_line_goes_in_hosts_of_any_size(spark):
+    r = random.Random(6)
+    own = lambda k: f"line of its own {k} " + " ".join(str(r.random()).translate(str.maketrans("0123456789.", "abcdefghijk")) for _ in range(60))
+    notice = " ".join(f"notice{a}{b}" for a in "abcdefghij" for b in "abcdefghij")
+    rows = []
+    for host, texts, shared in (("small", 30, 12), ("middle", 400, 101), ("hot", 3000, 101), ("seldom", 3000, 100)):
+        for k in range(texts):
+            rows.append((len(rows), (notice + "\n" if k < shared else "") + own(k), host))
+    got = {x.doc_id: x for x in line_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    rejected = Counter(s for i, _, s in rows if not got[i].kept)
+    assert rejected == {"small": 12, "middle": 101, "hot": 101}
+
+
 def test_verdicts_and_sql(spark, rows, monkeypatch):
     monkeypatch.setattr(line_rules, "MIN_DOCS", 5)
     monkeypatch.setattr(line_rules, "SHARE", 0.1)
@@ -75,7 +88,8 @@ def test_verdicts_and_sql(spark, rows, monkeypatch):
     documents = df.toPandas()  # noqa: F841
     con = duckdb.connect()
     con.register("documents", documents)
-    sql = line_rules.ORACLE.replace("> 50 and", "> 5 and").replace("0.02 *", "0.1 *")
+    sql = line_rules.ORACLE.replace("greatest(10, 0.2 *", "greatest(5, 0.1 *")
+    assert sql != line_rules.ORACLE
     assert sorted(con.sql(sql).fetchall(), key=key) == want
 
 

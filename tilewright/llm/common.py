@@ -1,16 +1,16 @@
-"""What the training-data operators share: reading tables and the shared scratch folder."""
+"""What the training-data operators share: reading tables, temporary tables, and caches of Python workers."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, path, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named table of a data folder, pruned to ``columns`` when given."""
@@ -18,43 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or our own in local mode where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tilewright-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a temporary table in the shared folder."""
-    return f"{shared_folder(spark)}/tilewright/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Deletes tables that ``written`` returned; only what has been written itself may have been made from them."""
-    for df in tables:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 #: What empties the caches of each module in a Python worker, and the module whose stage ran last there.
 _clearers: dict[str, Callable[[], None]] = {}
 _running = [""]

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A line is above the limit of a host when more than max(MIN_DOCS, SHARE * distinct texts) of its texts have it.
-MIN_DOCS, SHARE = 50, 0.02
+#: A line is above the limit of a host when more than MAX_DOCS of its distinct texts have it, however many there are; in
+#: a small host when more than SHARE of them do, but MIN_DOCS at least.
+MAX_DOCS, SHARE, MIN_DOCS = 100, 0.2, 10
 #: The share of words that a document may lose.
 DEPLETED = 0.5
 #: Fewer words, or a larger percentage of repeated words, fail.
@@ -98,15 +99,17 @@ def removed_lines(measured: DataFrame) -> DataFrame:
     )
     counts = texts.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MIN_DOCS)
     sizes = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
-    above = common.written(counts.join(sizes, "host").where(F.col("n") > F.lit(SHARE) * F.col("n_texts")).select("host", "line"), "common-lines")
+    limit = F.least(F.lit(float(MAX_DOCS)), F.greatest(F.lit(float(MIN_DOCS)), F.lit(SHARE) * F.col("n_texts")))
+    above = common.written(counts.join(sizes, "host").where(F.col("n") > limit).select("host", "line"), "common-lines")
     lines = texts.select("host", "text_key", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host", "text_key", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     hits = lines.join(small(above), ["host", "line"])
     return common.written(hits.groupBy("host", "text_key").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed")), "removed-lines")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it is small: its rows, and the entries of its column ``lists``."""
+    weight = F.lit(1) if lists is None else 1 + F.size(common.col(lists))
+    return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_ROWS else df
 
 
 def verdicts(docs: DataFrame, removed: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
@@ -127,7 +130,8 @@ def clean(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of ``docs``, without lines above the limits.
 
     n_chars, if it is there, is that of the new text. Rows are matched by host and text, so repeated
-    ids don't matter.
+    ids don't matter, and equal texts of a host have the same fate. Null and empty texts have no words and go. An empty table
+    gives an empty result; other columns, of any name, are returned unread.
     """
     measured = measure(docs)
     removed = removed_lines(measured)
@@ -155,7 +159,7 @@ def clean(docs: DataFrame) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([len(t) for t in texts], pa.int64()).cast(batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, names[:-1])
 
-    changed = kept.join(small(changes), on).select(*[common.col(c) for c in docs.columns], keys["removed"]).mapInArrow(strip, docs.schema)
+    changed = kept.join(small(changes, keys["removed"]), on).select(*[common.col(c) for c in docs.columns], keys["removed"]).mapInArrow(strip, docs.schema)
     return same.unionByName(changed)
 
 
@@ -190,7 +194,7 @@ with d as (
     select host, count(distinct t) as n from d group by host
 ), above as (
     select l.host, l.line from (select host, line, count(distinct t) as n from normal group by host, line) l join sizes using (host)
-    where l.n > {MIN_DOCS} and l.n > {SHARE} * sizes.n
+    where l.n > least({MAX_DOCS}, greatest({MIN_DOCS}, {SHARE} * sizes.n))
 ), lost as (
     select r, sum(n) as n from normal join above using (host, line) group by r
 ), f as (

@@ -210,6 +210,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: documents written as token files and read back."""
-    path = common.scratch(spark, "token-files")
+    path = common.path(spark, "token-files")
     write(common.table(spark, sf_dir, "documents", "doc_id", "text"), path)
     return documents(spark, path)
