@@ -5,7 +5,7 @@ range, and equal neighbours found by full comparison: the window's grouping comp
 text of each row with that of the row before it.
 
 The sort key is (first ``PREFIX`` characters, 64-bit hash, salt, whole text), so that splitters stay
-small whatever the length of the texts; equal texts are still neighbours. A text with many copies
+small whatever the length of the texts: ranges are in the order of the bytes up to there, and of hashes beyond. Equal texts are still neighbours. A text with many copies
 is dealt to several salts, each a run of its own, and the totals of such runs come from a
 pre-aggregation whose partial sums are made before the shuffle.
 """
@@ -98,7 +98,11 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None) -> DataFrame:
-    """The rows of ``df`` that stay, with the columns of ``df``."""
+    """The rows of ``df`` that stay, with the columns of ``df``, whatever their names.
+
+    A null text counts as empty, so of all null and empty texts one row stays; of repeated rows one stays; a null id
+    comes last; an empty table gives an empty result.
+    """
     plain = [f"c{i}" for i in range(len(df.columns))]
     out = annotate(df.toDF(*plain), plain[df.columns.index(id_col)], plain[df.columns.index(text_col)], keep, normalise)
     return out.where("kept").select(*plain).toDF(*df.columns)

@@ -22,6 +22,8 @@ _M32 = 0xFFFFFFFF
 #: Rows of a (shard, bucket) cell aimed at, and the most buckets of a shard; the offsets of all
 #: cells are broadcast, so they number at most shards * MAX_BUCKETS.
 CELL_ROWS, MAX_BUCKETS = 1024, 65536
+#: Jumps that are taken at first: a key takes some ln(shards). One that isn't there by then takes as many as there are shards.
+JUMPS = 64
 
 
 def _step(acc: Column, most: int) -> Column:
@@ -55,7 +57,10 @@ def jump(key: Column, shards: int) -> Column:
         raise ValueError("shards must be at least 1")
     lit = lambda x: F.lit(x).cast("long")
     start = F.struct(lit(0).alias("b"), lit(0).alias("j"), lit(0).alias("before"), F.shiftrightunsigned(key, 32).alias("hi"), key.bitwiseAND(lit(_M32)).alias("lo"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), start, lambda acc, _: _step(acc, shards + 1))
+    after = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda acc, _: _step(acc, shards + 1))
+    end = after(min(shards + 1, JUMPS))
+    if shards + 1 > JUMPS:
+        end = F.when(end["j"] >= shards + 1, end).otherwise(after(shards + 1))
     return F.struct(end["before"].cast("int").alias("shard"), end["b"].cast("int").alias("grown_shard"))
 
 
@@ -92,7 +97,10 @@ def assign(df: DataFrame, key_cols: list[str], shards: int, order_by: list[str]
 
 
 def write_shards(df: DataFrame, path: str, key_cols: list[str], shards: int) -> None:
-    """``df`` written as one folder of Parquet files for each shard."""
+    """``df`` written as one folder of Parquet files for each shard.
+
+    Nulls, repeats and clashing names: see ``assign``. An empty table gives an empty folder; shards without rows have none.
+    """
     assign(df, key_cols, shards).write.partitionBy("shard").parquet(path)
 
 

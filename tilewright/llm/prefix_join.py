@@ -464,10 +464,14 @@ def groups(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) ->
 
 
 def one_of_each(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """The rows of ``docs`` that survive, with its columns: one text of each component, and all rows without words.
+    """The rows of ``docs`` that survive, with its columns, of any name: one text of each component, and all rows without words.
 
-    Rows that repeat both id and text stay together; exact dedup comes before where they may not.
+    Rows that repeat both id and text stay together; exact dedup comes before where they may not. Ids are
+    integers; others raise. Null and empty texts stay; of a component without known ids the least text key
+    stays; an empty table gives an empty result.
     """
+    if docs.schema["doc_id"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise TypeError("doc_id must be an integer")
     gone = common.written(groups(docs, size, part, whole).where("not survivor").select("doc_id", "text_key").distinct(), "near-copies")
     id_k, key_k = common.free_name(docs, "id_k"), common.free_name(docs, "key_k")
     gone = small(gone.toDF(id_k, key_k + "_r"))
