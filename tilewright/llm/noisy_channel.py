@@ -251,31 +251,59 @@ def squeezed(word: str) -> str:
     return _REPEATED.sub(r"\1", word)
 
 
+#: Signs at the end of a token that are never letters.
+_NO_LETTERS = "".join(c for c in _ENDS if c not in LOOKS)
+
+
 class Scorer(dict):
     """The weight of each token: the largest of its features' weights, 0 without any.
 
-    All readings of letters with signs behind them at most begin with the same letters, repetitions apart. So where
-    no weighted word or beginning begins like that, the weight is 0 without any decoding.
+    Letters with plain signs behind them are their own reading, repetitions apart: for those, which are nearly all tokens,
+    no lattice is made, and weights are kept by their letters. Readings that differ in repetitions begin alike
+    without them, so where no weighted word or beginning does, the weight is 0.
     """
 
     def __init__(self, restorer: Restorer, weights: dict[str, float]):
         super().__init__()
-        self.restorer, self.weights = restorer, weights
+        self.restorer, self.weights, self.plain = restorer, weights, {}
         self.starts = {squeezed(f[1:])[:4] for f in weights}
 
-    def hopeless(self, token: str) -> bool:
-        word = token.lower().rstrip(_ENDS)
-        if not word.isalpha():
-            return False
+    def hopeless(self, word: str) -> bool:
+        """Whether no reading of letters with repetitions has a weight."""
         s = squeezed(word)
         return len(s) >= 4 and self.starts.isdisjoint((s[:4], s[:3], s[:2], s[:1]))
 
+    def weight(self, word: str) -> float:
+        get, n = self.weights.get, len(word)
+        best = get("=" + word, 0.0)
+        for k in BEGINNINGS:
+            if n <= k:
+                break
+            best = max(best, get("^" + word[:k], 0.0))
+        return best
+
+    def of_letters(self, word: str) -> float:
+        if not _REPEATED.search(word):
+            return self.weight(word)
+        if self.hopeless(word):
+            return 0.0
+        return max(map(self.weight, self.restorer.readings(word)), default=0.0)
+
     def __missing__(self, token: str) -> float:
-        get = self.weights.get
-        got = 0.0 if self.hopeless(token) else max((get(f, 0.0) for w in self.restorer.readings(token) for f in _features(w)), default=0.0)
-        got = got if got > 0 else 0.0
+        word = token.lower().rstrip(_NO_LETTERS)
+        if word.isalpha():
+            got = self.plain.get(word)
+            if got is None:
+                got = self.of_letters(word)
+                if len(word) <= 48:
+                    if len(self.plain) >= 200_000:
+                        self.plain.clear()
+                    self.plain[word] = got
+        else:  # signs at the end may be letters, but come after the others
+            first = word.rstrip(_ENDS)
+            got = 0.0 if first.isalpha() and self.hopeless(first) else max((self.weight(w) for w in self.restorer.readings(token)), default=0.0)
         if len(token) <= 48:
-            if len(self) >= 300_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[token] = got
         return got
