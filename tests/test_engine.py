@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.config import EdgeConfig, ExecutorKind, Preset, detected_resources, request_config, settings_for, suggested_settings
 from tilewright.functions import arrays
 from tilewright.operators import backends, canny, circuit, metrics, post, resample, stencils, strips, tiling
-from tilewright.plans import detection
+from tilewright.plans import detection, requests
 from tilewright.sources import images, jpeg, png, results, synthetic
 from tilewright.streaming import changed_tiles
 
@@ -387,3 +387,24 @@ def test_changed_tiles(spark, tmp_path):
     q = changed_tiles.changed(stream).writeStream.format("memory").queryName("changed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.tile_id, r.frame) for r in spark.table("changed").collect()) == [(0, 0), (1, 0), (1, 1)]
+
+
+def test_requests(spark):
+    import base64
+    import json
+
+    v = np.kron(np.eye(4), np.ones((5, 6))) * 200
+    body = {"image_b64": "data:image/png;base64," + base64.b64encode(png.encode(v.astype(np.uint8))).decode(), "tile_size": 5}
+    ask = lambda verb, route, payload=None: (lambda a: (a[0], json.loads(a[1] or "null")))(requests.answer(spark, verb, route, payload and json.dumps(payload)))
+    assert {b["name"] for b in ask("GET", "/api/capabilities")[1]["backends"]} >= set(backends.BUILT_IN)
+    assert len(ask("get", "/api/benchmarks_baseline")[1]["sample"]) == 5 and ask("GET", "/nothing") == (404, None)
+    status, got = ask("POST", "/api/process", body)
+    assert status == 200 and (got["metadata"]["width"], got["metadata"]["height"], got["metadata"]["tiles"], got["metadata"]["qubits"]) == (24, 20, 12, 7)
+    m = gradient(v / 255)
+    shown = png.decode(base64.b64decode(got["qhed"].split(",")[1]))[0][..., 0]
+    assert np.array_equal(shown, png.levels(m / m.max())) and set(got["tile_stages"]) == {"original", "normalised", "amplitudes", "across", "down", "magnitude", "edges", "circuit"}
+    status, got = ask("POST", "/api/benchmark", {"use_synthetic": True, "height": 24, "width": 32, "methods": ["sobel", "qhed"]})
+    assert status == 200 and [r["method"] for r in got["results"]] == ["sobel", "qhed"] and got["results"][1]["label"] == "QHED (Simulated)" and got["summary"]["highest_f1_method"] == "qhed" and got["reference"] == "truth"
+    status, got = ask("POST", "/api/scaling", {"sizes": [[16, 24], [8, 8]], "methods": ["qhed"]})
+    assert status == 200 and [r["resolution"] for r in got["pivot_rows"]] == ["8x8", "24x16"] and len(got["sweep_records"]) == 2
+    assert ask("POST", "/api/process", {"image_b64": "bm8="}) == (500, {"status": "error", "message": "not a readable PNG or JPEG image"})

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..config import EdgeConfig, ExecutorKind, Preset
 from ..operators import backends, canny, metrics, post, resample, stencils, tiling
 
@@ -81,8 +82,8 @@ def score(detected: DataFrame, reference: DataFrame, tolerance: float = 1.0) ->
 def benchmark(pixels: DataFrame, height: int, width: int, reference: DataFrame | None = None, methods: tuple[str, ...] = METHODS, config: EdgeConfig | None = None) -> DataFrame:
     """One row for each method (and image): COLUMNS, with image_id. Without a reference, Canny's edges are it.
 
-    All methods are scored in one job over (image, method); each is timed by an action of its own. Memory peaks are Spark's
-    affair and null.
+    Each method's edges are written once to the shared folder, which is what is timed, and read from there to be scored in one job
+    over (image, method). Memory peaks are Spark's affair and null.
     """
     config = (config or EdgeConfig()).with_updates(preset=Preset.FULL_4K)
     spark = pixels.sparkSession
@@ -91,9 +92,8 @@ def benchmark(pixels: DataFrame, height: int, width: int, reference: DataFrame |
     found = truth = None
     times = []
     for method in methods:
-        edges = detect(pixels, method, config)
         began = time.perf_counter()
-        edges.write.format("noop").mode("overwrite").save()
+        edges = scratch.written(detect(pixels, method, config), f"edges-{method}")
         times.append((method, time.perf_counter() - began, tiling.grid(height, width, config.tile_size)["num_tiles"] if method == "qhed" else None))
         found = tag(edges, method) if found is None else found.unionByName(tag(edges, method))
         truth = tag(reference, method) if truth is None else truth.unionByName(tag(reference, method))
