@@ -89,7 +89,8 @@ def measure(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text, source): its figures and hashed lines, written to the shared folder."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text"))
-    return common.written(plain.mapInArrow(_measured, f"doc_id long, host string, text_key string, {_BASE}, lines array<long>, line_words array<int>"), "line-figures")
+    with common.small_batches(docs.sparkSession):
+        return common.written(plain.mapInArrow(_measured, f"doc_id long, host string, text_key string, {_BASE}, lines array<long>, line_words array<int>"), "line-figures")
 
 
 def removed_lines(measured: DataFrame) -> DataFrame:

@@ -297,7 +297,8 @@ class Join:
 
     def _rows(self) -> DataFrame:
         counted = self.plain.select("text").mapInArrow(_counting(self.size), "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
-        counted = common.written(counted, "word-counts")
+        with common.small_batches(self.spark):
+            counted = common.written(counted, "word-counts")
 
         def most(kind: int) -> tuple[np.ndarray, np.ndarray]:
             top = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
@@ -306,7 +307,8 @@ class Join:
         total = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
         shared = self.spark.sparkContext.broadcast(Order(most(1), most(0), total))
         common.discard(counted)
-        return common.written(self.plain.mapInArrow(_describing(self.size, self.part, self.whole, shared), _DESCRIBED), "shingle-rows")
+        with common.small_batches(self.spark):
+            return common.written(self.plain.mapInArrow(_describing(self.size, self.part, self.whole, shared), _DESCRIBED), "shingle-rows")
 
     def _classes(self, rows: DataFrame) -> DataFrame:
         first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key"))
@@ -413,9 +415,11 @@ class Join:
         wanted = common.written(classes.select("node", F.col("src_key").alias("text_key")).join(nodes, "node", "left_semi"), "wanted")
         texts = self.plain.select("text_key", "text").join(small(wanted), "text_key").select("node", "text")
         # A class's source may stand in several rows; their sets are the same.
-        sets = common.written(texts.mapInArrow(_sets(self.size), "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets")
-        joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-        out = common.written(joined.select("a", "b", "sa", "sb").mapInArrow(_verifying(self.part, self.whole), "a long, b long"), "links")
+        sets = texts.mapInArrow(_sets(self.size), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+        with common.small_batches(self.spark):
+            sets = common.written(sets, "sets")
+            joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+            out = common.written(joined.select("a", "b", "sa", "sb").mapInArrow(_verifying(self.part, self.whole), "a long, b long"), "links")
         common.discard(wanted, sets)
         return out
 

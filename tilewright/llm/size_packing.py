@@ -114,7 +114,8 @@ def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = SIZES, vocabulary:
     Columns besides doc_id and text are not read.
     """
     top = max(sizes)
-    measured = common.written(lengths(docs, vocabulary), "lengths")
+    with common.small_batches(docs.sparkSession):
+        measured = common.written(lengths(docs, vocabulary), "lengths")
     pieces = measured.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / top)))).first()[0] or 0
     blocks = max(1, math.ceil(pieces / BLOCK_ITEMS))
     # Rows that repeat id and text are counted first and then numbered, so that no task gathers them.
