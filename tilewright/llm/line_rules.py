@@ -93,14 +93,18 @@ def measure(docs: DataFrame) -> DataFrame:
         return common.written(plain.mapInArrow(_measured, f"doc_id long, host string, text_key string, {_BASE}, lines array<long>, line_words array<int>"), "line-figures")
 
 
-def removed_lines(measured: DataFrame) -> DataFrame:
-    """(host, text_key, removed_words, removed): for each distinct text of a host with lines above the host's limit."""
+def removed_lines(measured: DataFrame, limits: tuple[float, float, float] | None = None) -> DataFrame:
+    """(host, text_key, removed_words, removed): for each distinct text of a host with lines above the host's limit.
+
+    ``limits``: (MAX_DOCS, SHARE, MIN_DOCS), those above where it is None.
+    """
+    most, share, least = limits or (MAX_DOCS, SHARE, MIN_DOCS)
     texts = common.written(
         measured.groupBy("host", "text_key").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words")), "distinct-texts"
     )
-    counts = texts.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MIN_DOCS)
+    counts = texts.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(least, most))
     sizes = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
-    limit = F.least(F.lit(float(MAX_DOCS)), F.greatest(F.lit(float(MIN_DOCS)), F.lit(SHARE) * F.col("n_texts")))
+    limit = F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), F.lit(float(share)) * F.col("n_texts")))
     above = common.written(counts.join(sizes, "host").where(F.col("n") > limit).select("host", "line"), "common-lines")
     lines = texts.select("host", "text_key", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host", "text_key", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     hits = lines.join(small(above), ["host", "line"])
@@ -113,8 +117,8 @@ def small(df: DataFrame, lists: str | None = None) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_ROWS else df
 
 
-def verdicts(docs: DataFrame, removed: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text, source): the figures, base_failed and kept.
+def verdicts(docs: DataFrame, removed: DataFrame | None = None, measured: DataFrame | None = None, lost: bool = False) -> DataFrame:
+    """A row for each row of ``docs`` (doc_id, text, source): the figures, base_failed and kept; with ``lost`` the words in removed lines as well.
 
     Null and empty texts have no words and fail. Documents without a source share a host of their own
     with those whose source is empty. Empty table: empty result. Other columns are not read.
@@ -123,8 +127,10 @@ def verdicts(docs: DataFrame, removed: DataFrame | None = None, measured: DataFr
     removed = removed_lines(measured) if removed is None else removed
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     joined = measured.drop("lines", "line_words").join(small(removed.drop("removed")), ["host", "text_key"], "left")
-    depleted = F.coalesce(F.col("removed_words"), F.lit(0)) > F.lit(DEPLETED) * F.col("n_words")
-    return joined.select("doc_id", *_FIGURES, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "host", "text_key")
+    gone = F.coalesce(F.col("removed_words"), F.lit(0))
+    depleted = gone > F.lit(DEPLETED) * F.col("n_words")
+    more = [gone.cast("long").alias("lost")] if lost else []
+    return joined.select("doc_id", *_FIGURES, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "host", "text_key", *more)
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -169,8 +175,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     return verdicts(common.table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("host", "text_key")
 
 
+#: Limits at which lines are removed from the smallest tables as well.
+LOW = (3, 0.02, 2)
+
+
+def low_query(spark, sf_dir: str) -> DataFrame:
+    """The same at low limits, so that the filter acts on small tables, and what each document would lose."""
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    measured = measure(docs)
+    removed = common.written(removed_lines(measured, LOW), "removed-lines")
+    return verdicts(docs, removed, measured, lost=True).select("doc_id", "lost", "kept")
+
+
 _WORD = "[^\\x20\\x09-\\x0D]+"
-ORACLE = f"""
+_ORACLE = f"""
 with d as (
     select row_number() over () as r, doc_id, coalesce(source, '') as host, coalesce(text, '') as t from documents
 ), w as (
@@ -195,7 +213,7 @@ with d as (
     select host, count(distinct t) as n from d group by host
 ), above as (
     select l.host, l.line from (select host, line, count(distinct t) as n from normal group by host, line) l join sizes using (host)
-    where l.n > least({MAX_DOCS}, greatest({MIN_DOCS}, {SHARE} * sizes.n))
+    where l.n > least(@most, greatest(@least, @share * sizes.n))
 ), lost as (
     select r, sum(n) as n from normal join above using (host, line) group by r
 ), f as (
@@ -209,3 +227,13 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words) and lost <= {DEPLETED} * n_words as kept
 from f
 """
+
+
+def oracle(limits: tuple[float, float, float]) -> str:
+    most, share, least = limits
+    return _ORACLE.replace("@most", str(most)).replace("@share", str(share)).replace("@least", str(least))
+
+
+ORACLE = oracle((MAX_DOCS, SHARE, MIN_DOCS))
+LOW_ORACLE = oracle(LOW).replace("select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,\n       n_words < ", "select doc_id, lost, n_words < ")
+LOW_ORACLE = "select doc_id, lost::bigint as lost, kept from (" + LOW_ORACLE + ")"

@@ -15,10 +15,12 @@ QUERIES = {
     "op8_host_paths": host_paths.query,
     "op9_line_rules": line_rules.query,
     "op10_prefix_join": prefix_join.query,
+    "line_rules_low_limits": line_rules.low_query,
 }
 
 ORACLES = {
     "op7_content_sort": content_sort.ORACLE,
     "op9_line_rules": line_rules.ORACLE,
     "op10_prefix_join": prefix_join.ORACLE,
+    "line_rules_low_limits": line_rules.LOW_ORACLE,
 }
