@@ -792,4 +792,5 @@ _VALUE = lambda c: _LEVEL.replace("case label", f"case {c}")
 )
 def qhed_4k(spark, sf):
     """The scene at 3840 x 2160 in strips: peak and number of edge pixels."""
-    return strips.detected_counts(strips.scene(spark, *_4K, rows=68), 0.2).select("image_id", _r("peak", "peak"), "n_edges")
+    rows = -(-_4K[0] // (2 * spark.sparkContext.defaultParallelism))  # two strips for each core
+    return strips.detected_counts(strips.scene(spark, *_4K, rows), 0.2).select("image_id", _r("peak", "peak"), "n_edges")
