@@ -38,6 +38,34 @@ def test_counts():
     assert n[a + 0 * s] == 2 and n[(0 * s + a) * s + b] == 2 and n[(a * s + b) * s] == 2 and n[e] == 1 and n.sum() > 0
 
 
+def test_counting_holds_pieces(monkeypatch):
+    import tracemalloc
+
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab é1.") for _ in range(r.randrange(40))) for _ in range(50)] + ["x" * 100, "", "long " * 30]
+    whole = nc.trigram_counts(texts)
+    for size in (1, 2, 7, 40):
+        monkeypatch.setattr(nc, "PIECE", size)
+        assert (nc.trigram_counts(iter(texts)) == whole).all()
+        assert max(map(len, nc._pieces(texts))) <= size + 6
+    monkeypatch.undo()
+    tracemalloc.start()
+    counted = nc.trigram_counts(["some words of no use " * 50] * 20_000)  # 21 MB
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6 and counted.sum() == 20_000 * (21 * 50 + 2)
+
+
+def test_a_new_model_gives_up_what_was_kept_for_the_last():
+    nc.common.begin(nc.__name__)
+    nc._restorers["old"] = nc._scorers["old"] = {"a": 1}
+    batch = nc.pa.RecordBatch.from_arrays([nc.pa.array(["ab", None, "c"] * 700)], ["text"])
+    (got,) = nc._trigrams(iter([batch]))
+    assert not nc._restorers and not nc._scorers
+    want = nc.trigram_counts(["ab", "c"] * 700)
+    assert dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)) == {k: want[k] for k in np.flatnonzero(want)}
+
+
 def test_viterbi_is_the_least_of_all_paths(model):
     for token in ("1d10t", "l0$er", "aaa", "b.a.d", "m0rrron", "*n"):
         options = []

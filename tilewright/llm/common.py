@@ -47,12 +47,15 @@ def cached(owner: str, clear: Callable[[], None]) -> None:
     _clearers[owner] = clear
 
 
-def begin(owner: str) -> None:
-    """To be called where a task starts: if another module ran in this worker before, its caches go and free memory is given back."""
-    if _running[0] == owner:
+def begin(owner: str, anew: bool = False) -> None:
+    """To be called where a task starts: if another module ran in this worker before, its caches go and free memory is given back.
+
+    With ``anew`` the owner's own caches go as well, whatever ran before.
+    """
+    if _running[0] == owner and not anew:
         return
     for other, clear in _clearers.items():
-        if other != owner:
+        if other != owner or anew:
             clear()
     if _running[0]:
         import pyarrow as pa
