@@ -107,6 +107,22 @@ def test_links(spark):
     assert of[900] == of[0] and 901 not in of and len(found) == len(set(found)) and set(found) == want and len(want) > 20
 
 
+@pytest.mark.parametrize("broadcast", [500_000, -1])
+def test_entries_are_exchanged_once_at_every_size(spark, rows, monkeypatch, broadcast):
+    monkeypatch.setattr(prefix_join, "BROADCAST_ROWS", broadcast)
+    join = prefix_join.Join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100)
+    classes = join._classes(join._rows())
+    made, write = [], prefix_join.common.written
+    monkeypatch.setattr(prefix_join.common, "written", lambda df, name: made.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    got = sorted((r.token, r.node, r.n, r.ell, r.at, r.short) for r in join._entries(classes).collect())
+    by_token = defaultdict(list)
+    for r in classes.collect():
+        for at, token in enumerate(r.prefix):
+            by_token[token].append((token, r.node, r.n, r.ell, at, at < r.short))
+    assert got == sorted(e for es in by_token.values() for e in es if len(es) > 1 and any(e[5] for e in es)) and got
+    assert [(p.count("Exchange "), p.count("Join ")) for p in made] == [(1, 0)]
+
+
 def test_sql(spark, rows, tmp_path):
     known = [x for x in dict(rows).items() if x[0] is not None]
     df = spark.createDataFrame(known, "doc_id long, text string")

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -320,11 +320,10 @@ class Join:
     def _entries(self, classes: DataFrame) -> DataFrame:
         """(token, node, n, ell, at, short) of prefix shingles that two classes may meet at, one of them in its short prefix."""
         entries = classes.select("node", "n", "ell", "short", F.posexplode("prefix").alias("at", "token")).withColumn("short", F.col("at") < F.col("short"))
-        met = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("short")).where("c > 1 and short").select("token")
-        met = common.written(met, "shared-shingles")
-        out = common.written(entries.join(small(met), "token"), "shared-entries")
-        common.discard(met)
-        return out
+        # One exchange of the entries at every size: a table of the shared shingles would be one more, and a join back to it a third.
+        alike = Window.partitionBy("token")
+        met = entries.withColumn("c", F.count(F.lit(1)).over(alike)).withColumn("led", F.max("short").over(alike)).where("c > 1 and led")
+        return common.written(met.select("token", "node", "n", "ell", "at", "short"), "shared-entries")
 
     def _labelled(self, classes: DataFrame, entries: DataFrame) -> DataFrame:
         """``classes`` (sig, rid, src_key, n) with ``comp``, the smallest node of the component."""
