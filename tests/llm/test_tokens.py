@@ -3,9 +3,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tilewright.llm import prefix_bpe, token_files, vocab
+from tilewright.llm import common, prefix_bpe, token_files, vocab
 
 TEXTS = [
     None, "", " ", "The theater of thanedble thing's end. It'll re'd I'm", "straße ÉÇA éèê ñ ﬁ ŉ İ Σίσυφος ΟΔΟΣ", "x" * 3000, "a b c\x1cd\x85e",
@@ -89,6 +90,43 @@ def test_files_of_nothing_and_null_ids(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.start, r.n_tokens) for r in token_files.documents(spark, str(tmp_path / "b")).collect()) == [(0, 0, 3), (1, 3, 1), (1, 4, 1)]
 
 
+def test_files_take_small_batches_and_one_block_at_a_time(spark, tmp_path, monkeypatch):
+    most, real = int(common.BATCH_ROWS), {k: getattr(token_files, k) for k in ("_encoder", "_writer")}
+
+    def watched(name):
+        def made(*a):
+            run = real[name](*a)
+
+            def seen(batches):
+                for b in batches:
+                    if b.num_rows > most:
+                        raise ValueError(f"{name} got {b.num_rows} rows at once")
+                    yield b
+
+            return lambda batches: run(seen(batches))
+
+        return made
+
+    for name in real:
+        monkeypatch.setattr(token_files, name, watched(name))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    token_files.write(spark.range(0, 3 * most, 1, 1).selectExpr("id doc_id", "concat('row ', id) text"), str(tmp_path / "files"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert token_files.documents(spark, str(tmp_path / "files")).count() == 3 * most
+
+    class ids_of:
+        value = np.arange(100, 200, dtype="<u4")
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    control, data = token_files.encode_ranks(np.arange(5))
+    block = {"start": 10, "n_tokens": 5, "doc_ids": [7, 8, 9], "lengths": [2, 0, 3], "control": control, "data": data}
+    got = list(token_files._reader(ids_of)(iter([pa.RecordBatch.from_pylist([block, block | {"start": 15}])])))
+    sums = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ([100, 101], [], [102, 103, 104])]
+    assert [b.to_pydict() for b in got] == [{"doc_id": [7, 8, 9], "start": [s, s + 2, s + 2], "n_tokens": [2, 0, 3], "ids_crc32": sums} for s in (10, 15)]
+    assert given == [1]
+
+
 def test_digests(spark, texts, library):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in prefix_bpe.digests(df).collect():

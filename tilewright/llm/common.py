@@ -58,17 +58,22 @@ def begin(owner: str, anew: bool = False) -> None:
         if other != owner or anew:
             clear()
     if _running[0]:
-        import pyarrow as pa
-
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass  # another C library
+        give_back()
     _running[0] = owner
 
 
+def give_back() -> None:
+    """Gives memory that is free in this process, but was kept for later, back to the machine; caches stay."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}

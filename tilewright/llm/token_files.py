@@ -79,6 +79,7 @@ def _encoder(vocabulary, dtype: str, end_id: int | None):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "ids", "n"])
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.nulls(len(seen), pa.binary()), pa.array(-counts[seen], pa.int64())], ["doc_id", "ids", "n"])
+        common.give_back()  # a worker that waits for its next task holds the cache of pieces only
 
     return run
 
@@ -115,6 +116,7 @@ def _writer(rank_of, dtype: str):
                     yield flush()
         if doc_ids:
             yield flush()
+        common.give_back()
 
     return run
 
@@ -131,7 +133,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
     dtype = "<u2" if top <= 1 << 16 else "<u4"
     shared = spark.sparkContext.broadcast(text)
     plain = docs.select(common.col(id_col).cast("long").alias("doc_id"), common.col(text_col).cast("string").alias("text"))
-    encoded = common.written(plain.mapInArrow(_encoder(shared, dtype, end_id), "doc_id long, ids binary, n long"), "token-ids")
+    with common.small_batches(spark):
+        encoded = common.written(plain.mapInArrow(_encoder(shared, dtype, end_id), "doc_id long, ids binary, n long"), "token-ids")
 
     counted = encoded.where("ids is null").groupBy(F.col("doc_id").alias("id")).agg((-F.sum("n")).alias("n"))
     # One row for each id of the vocabulary, at most 2^16 or so.
@@ -142,30 +145,34 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
     for k, (i, _) in enumerate(pairs):
         rank_of[i] = k
     ranks = spark.sparkContext.broadcast(rank_of)
-    (
-        encoded.where("ids is not null").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-        .mapInArrow(_writer(ranks, dtype), "part int, block long, start_in_part long, n_tokens long, doc_ids array<long>, lengths array<long>, control binary, data binary")
-        .write.option("compression", "zstd").parquet(f"{path}/blocks")
-    )
+    with common.small_batches(spark):
+        (
+            encoded.where("ids is not null").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+            .mapInArrow(_writer(ranks, dtype), "part int, block long, start_in_part long, n_tokens long, doc_ids array<long>, lengths array<long>, control binary, data binary")
+            .write.option("compression", "zstd").parquet(f"{path}/blocks")
+        )
+
+
+def _each_block(batches):
+    """Blocks as dictionaries, one at a time: how many a batch holds depends on the settings of whoever reads."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
+    common.give_back()
 
 
 def _reader(id_of):
     """Blocks to (doc_id, start, n_tokens, ids_crc32)."""
 
     def run(batches):
-        for batch in batches:
-            ids, starts, sizes, sums = [], [], [], []
-            columns = {k: batch.column(k).to_pylist() for k in batch.schema.names}
-            for k in range(batch.num_rows):
-                ranks = decode_ranks(columns["control"][k], columns["data"][k], columns["n_tokens"][k])
-                raw, at, start = id_of.value[ranks].astype("<u4", copy=False).tobytes(), 0, columns["start"][k]
-                for doc_id, n in zip(columns["doc_ids"][k], columns["lengths"][k], strict=True):
-                    ids.append(doc_id)
-                    starts.append(start + at)
-                    sizes.append(n)
-                    sums.append(zlib.crc32(memoryview(raw)[4 * at : 4 * (at + n)]))
-                    at += n
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, sizes, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        for block in _each_block(batches):
+            ranks = decode_ranks(block["control"], block["data"], block["n_tokens"])
+            raw, at, starts, sums = id_of.value[ranks].astype("<u4", copy=False).tobytes(), 0, [], []
+            for n in block["lengths"]:
+                starts.append(block["start"] + at)
+                sums.append(zlib.crc32(memoryview(raw)[4 * at : 4 * (at + n)]))
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (block["doc_ids"], starts, block["lengths"], sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -195,15 +202,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     id_of = _id_table(spark, path)
 
     def run(batches):
-        for batch in batches:
-            columns, out = {k: batch.column(k).to_pylist() for k in batch.schema.names}, ([], [])
-            for k in range(batch.num_rows):
-                ids, at = id_of.value[decode_ranks(columns["control"][k], columns["data"][k], columns["n_tokens"][k])], 0
-                for doc_id, n in zip(columns["doc_ids"][k], columns["lengths"][k], strict=True):
-                    out[0].append(doc_id)
-                    out[1].append(ids[at : at + n].astype(np.int32))
-                    at += n
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for block in _each_block(batches):
+            ids, at, out = id_of.value[decode_ranks(block["control"], block["data"], block["n_tokens"])].astype(np.int32), 0, []
+            for n in block["lengths"]:
+                out.append(ids[at : at + n])
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(block["doc_ids"], pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return spark.read.parquet(f"{path}/blocks").mapInArrow(run, "doc_id long, ids array<int>")
 
