@@ -91,10 +91,11 @@ def test_files_of_nothing_and_null_ids(spark, tmp_path):
 
 
 def test_files_take_small_batches_and_one_block_at_a_time(spark, tmp_path, monkeypatch):
-    most, real = int(common.BATCH_ROWS), {k: getattr(token_files, k) for k in ("_encoder", "_writer")}
+    most, real, held = int(common.BATCH_ROWS), {k: getattr(token_files, k) for k in ("_encoder", "_writer")}, []
 
     def watched(name):
         def made(*a):
+            held.append(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))
             run = real[name](*a)
 
             def seen(batches):
@@ -109,9 +110,10 @@ def test_files_take_small_batches_and_one_block_at_a_time(spark, tmp_path, monke
 
     for name in real:
         monkeypatch.setattr(token_files, name, watched(name))
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    settings = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k) for k in settings]
     token_files.write(spark.range(0, 3 * most, 1, 1).selectExpr("id doc_id", "concat('row ', id) text"), str(tmp_path / "files"))
-    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert held == [token_files.READER_ROWS] * 2 and [spark.conf.get(k) for k in settings] == before
     assert token_files.documents(spark, str(tmp_path / "files")).count() == 3 * most
 
     class ids_of:

@@ -24,9 +24,14 @@ BATCH_ROWS, BATCH_BYTES = "2000", "8m"
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """What is written inside goes to Python in batches of at most BATCH_ROWS and BATCH_BYTES; the session's settings are as before afterwards."""
+def small_batches(spark: SparkSession, reader_rows: str | None = None) -> Iterator[None]:
+    """What is written inside goes to Python in batches of at most BATCH_ROWS and BATCH_BYTES; the session's settings are as before afterwards.
+
+    With ``reader_rows``, Parquet files are read by that many rows at a time there: the JVM holds each column of them in one array.
+    """
     own = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    if reader_rows:
+        own["spark.sql.parquet.columnarReaderBatchSize"] = reader_rows
     before = {k: spark.conf.get(k, None) for k in own}
     try:
         for k, v in own.items():

@@ -26,6 +26,8 @@ from . import common, vocab
 
 #: A block is closed when it has this many ids; a longer document is a block of its own length.
 BLOCK_TOKENS = 65_536
+#: Rows of texts or ids that the JVM reads at a time; at Spark's 4,096 their arrays take many MB and make its heap grow.
+READER_ROWS = "512"
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
@@ -133,7 +135,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
     dtype = "<u2" if top <= 1 << 16 else "<u4"
     shared = spark.sparkContext.broadcast(text)
     plain = docs.select(common.col(id_col).cast("long").alias("doc_id"), common.col(text_col).cast("string").alias("text"))
-    with common.small_batches(spark):
+    with common.small_batches(spark, READER_ROWS):
         encoded = common.written(plain.mapInArrow(_encoder(shared, dtype, end_id), "doc_id long, ids binary, n long"), "token-ids")
 
     counted = encoded.where("ids is null").groupBy(F.col("doc_id").alias("id")).agg((-F.sum("n")).alias("n"))
@@ -145,7 +147,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
     for k, (i, _) in enumerate(pairs):
         rank_of[i] = k
     ranks = spark.sparkContext.broadcast(rank_of)
-    with common.small_batches(spark):
+    with common.small_batches(spark, READER_ROWS):
         (
             encoded.where("ids is not null").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
             .mapInArrow(_writer(ranks, dtype), "part int, block long, start_in_part long, n_tokens long, doc_ids array<long>, lengths array<long>, control binary, data binary")
